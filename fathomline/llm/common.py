@@ -84,6 +84,26 @@ def split_binary(data: bytes, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.binary())
 
 
+class Memo(dict):
+    """What compute gives for a key. The first `core` keys stay, of the others the last `recent`: memory is bounded, results aren't touched."""
+
+    def __init__(self, compute: Callable, core: int = 400_000, recent: int = 250_000):
+        super().__init__()
+        self.compute, self.core, self.recent, self.late = compute, core, recent, {}
+
+    def __missing__(self, key):
+        got = self.late.get(key)
+        if got is None:
+            got = self.compute(key)
+            if len(self) < self.core:
+                self[key] = got
+            else:
+                if len(self.late) >= self.recent:
+                    self.late.clear()
+                self.late[key] = got
+        return got
+
+
 # --- words as 64-bit hashes, straight from UTF-8 bytes -------------------------------------------------------------
 
 

@@ -1,7 +1,7 @@
 """Queries and SQL of this subpackage."""
 
-from . import token_output
+from . import mixing, secret_scan, token_output, toxicity
 
-MODULES = [token_output]
+MODULES = [token_output, toxicity, secret_scan, mixing]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in getattr(m, "SQL", {}).items()}
