@@ -1,7 +1,7 @@
 """Queries and SQL of this subpackage."""
 
-from . import mixing, secret_scan, sentence_pieces, token_output, toxicity
+from . import mixing, near_dups, secret_scan, sentence_pieces, token_output, toxicity
 
-MODULES = [token_output, toxicity, secret_scan, mixing, sentence_pieces]
+MODULES = [token_output, toxicity, secret_scan, mixing, sentence_pieces, near_dups]
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in getattr(m, "SQL", {}).items()}
