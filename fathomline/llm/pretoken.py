@@ -7,17 +7,27 @@ other. Texts that hold an added token's string go to the library whole, as it ta
 from __future__ import annotations
 
 import json
+from array import array
 
 import numpy as np
 import regex
 
-#: Pre-tokens remembered in a worker; beyond that it starts anew. Bounds memory, not results.
-CACHE = 400_000
+from .common import Memo
 
 #: How a byte-level pre-tokenizer without own pattern splits texts (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _byte_chars() -> dict[int, str]:
+    """The character by which a byte-level BPE names each byte: itself if it can be printed, else those from 256 on."""
+    printed = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in printed else next(others)) for b in range(256)}
+
+
+BYTE_CHARS = _byte_chars()
+
+
 def load_json(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
@@ -35,18 +45,15 @@ class PretokenCache:
         self.split = regex.compile(PATTERN).findall
         self.added = [x["content"] for x in spec["added_tokens"]]
         self.dtype = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        """Has the library encode what isn't known yet."""
-        new = list({w for w in words if w not in self.known})
-        if not new:
-            return
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(set(words))
-        for word, got in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(got.ids, self.dtype).tobytes()
+        self.code = "H" if self.dtype is np.uint16 else "I"
+        self.model = self.library.model
+        self.known = Memo(self.ids)
+        self.lengths = Memo(lambda word: len(self.known[word]) // self.dtype().itemsize)
+
+    def ids(self, word: str) -> bytes:
+        """The library's ids of one pre-token."""
+        text = word.encode("utf-8", "replace").decode("latin-1").translate(BYTE_CHARS)
+        return array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def whole(self, text: str) -> bool:
         return any(a in text for a in self.added)
@@ -55,9 +62,4 @@ class PretokenCache:
         """Ids of the whole text as bytes of dtype."""
         if self.whole(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        words = self.split(text)
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(words)
-            return b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self.known.__getitem__, self.split(text)))
