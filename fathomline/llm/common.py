@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,6 +85,28 @@ def split_binary(data: bytes, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.binary())
 
 
+def may_hold(ids: DataFrame, column: str, most_bits: int = 26) -> Callable[[Column], Column]:
+    """A test of whether a column's value may be among ids: no for most others, always yes for these.
+
+    A bitmap of 16 bits an id, of at most 2**most_bits bits (8 MB at 26): it is built by an aggregation, and the driver
+    and each task hold it whole. With very many ids it lets more others through, and a join must decide in any case.
+    """
+    spark = ids.sparkSession
+    bits = 1 << min(most_bits, max(16, (16 * ids.count()).bit_length()))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = ids.select(at(F.col(column)).alias("b")).select(F.floor(F.col("b") / 64).alias("w"), F.expr("shiftleft(1L, cast(b % 64 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toPandas()
+    bitmap = np.zeros(bits // 64, np.uint64)
+    bitmap[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def test(place: pd.Series) -> pd.Series:
+        p = place.to_numpy(np.int64)
+        return pd.Series((shared.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) != 0)
+
+    return lambda c: test(F.coalesce(at(c), F.lit(0)))
+
+
 class Memo(dict):
     """What compute gives for a key. The first `core` keys stay, of the others the last `recent`: memory is bounded, results aren't touched."""
 

@@ -18,8 +18,10 @@
    left over are then compared with all of the family in tiles of at most FAMILY shingles a side.
 5. Links outside small families are joined to components.
 
+
 Depth is not cut short in regions of many texts, as that would lose links; regions are compressed by 2 and by hubs
-instead. The texts of families are shuffled twice; of all others only fingerprints and labels are.
+instead. The texts of families (told from others by a bitmap of bounded size first) are shuffled twice; of all others only
+fingerprints and labels are.
 
 Texts without words, null texts: n_shingles 0, linked with nothing. Rows with null doc_id: likewise, component null,
 kept. Rows that repeat a doc_id and text are all returned. Other columns are ignored, and kept by `dedup`.
@@ -41,7 +43,7 @@ WORDS, DEPTH, TREES = 5, 9, 40
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Shingles of a family (or of one side of a tile) that a task holds.
-FAMILY = 1_000_000
+FAMILY = 250_000
 #: Members of a large family from which its core is taken.
 CORE = 64
 
@@ -352,8 +354,9 @@ def near_duplicates(docs: DataFrame, family_limit: int = FAMILY) -> DataFrame:
     large, large_at = common.write_table(sizes.where(F.col("shingles") > family_limit), "large")
     any_large = not large.isEmpty()
     texts = docs.select(F.col("doc_id").alias("rep"), "text").where(F.col("rep").isNotNull())
+    texts = texts.where(common.may_hold(members, "rep")(F.col("rep")))  # others' texts aren't shuffled
     small = members.join(large.select("family"), "family", "left_anti") if any_large else members
-    found = _resolved(texts.join(small, "rep"), ["family"])
+    found = _resolved(texts.join(small.hint("merge"), "rep"), ["family"])
     if any_large:
         edges = _large_links(texts.join(members.join(large.select("family"), "family"), "rep"), large)
         found = found.union(connected_components(edges).select(F.col("node").alias("rep"), "component"))
@@ -371,11 +374,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     """docs without near duplicates: of each component the smallest doc_id stays, and one row of it if rows repeat it."""
     found = near_duplicates(docs)
     again = not found.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty()
-    stay = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    out = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").select(docs.columns)
+    gone, _ = common.write_table(found.where("not kept").select("doc_id").distinct(), "gone")
+    maybe = F.col("doc_id").isNotNull() & common.may_hold(gone, "doc_id")(F.col("doc_id"))
+    out = docs.where(~maybe).union(docs.where(maybe).join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns))  # texts that surely stay aren't shuffled
     if again:
-        out = out.dropDuplicates(["doc_id"])
-    return out.union(docs.where("doc_id is null"))
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    return out
 
 
 def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
