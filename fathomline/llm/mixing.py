@@ -78,15 +78,15 @@ def _hash(seed: int, doc_id: str = "doc_id") -> Column:
 
 
 class Schedule:
-    """blocks: source, n_blocks; rows: source, block, epoch, slot, cut (the greatest hash taken, null: all)."""
+    """blocks: source, n_blocks; rows: (source, block, epoch, slot, cut), where cut is the greatest hash taken, None: all."""
 
-    def __init__(self, spark: SparkSession, seed: int, sources: pd.DataFrame, rows: pd.DataFrame):
+    def __init__(self, spark: SparkSession, seed: int, sources: pd.DataFrame, rows: list[tuple]):
         self.spark, self.seed, self.sources, self.rows = spark, seed, sources, rows
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """docs with epoch and slot, a row for each time that a document is used."""
         own = self.spark.createDataFrame(list(self.sources[["source", "n_blocks"]].itertuples(index=False, name=None)), "_source string, _n long")
-        rows = [(None if pd.isna(s) else s, int(b), int(e), int(t), None if pd.isna(c) else int(c)) for s, b, e, t, c in self.rows.itertuples(index=False, name=None)]
+        rows = self.rows
         plan = self.spark.createDataFrame(rows, "_source string, _block long, epoch int, slot long, _cut long")
         hint = F.broadcast if len(rows) <= 8 * (MAX_BLOCKS + MAX_SOURCES) else (lambda x: x)
         docs = docs.drop("epoch", "slot")
@@ -155,7 +155,7 @@ def make_schedule(docs: DataFrame, budget: float | None = None, target_entropy:
         over = inside.groupBy("cs").agg(F.min(F.when(F.col("upto") > F.col("most"), F.col("h"))).alias("first"), F.max("h").alias("last"))
         greatest = {r["cs"]: r["last"] if r["first"] is None else r["first"] - 1 if r["first"] > -(1 << 63) else r["first"] for r in over.collect()}
     rows.sort(key=lambda r: (r[0], r[1]))
-    table = pd.DataFrame([(s, b, e, t, greatest.get(s) if c else None) for t, (_, _, s, b, e, c) in enumerate(rows)], columns=["source", "block", "epoch", "slot", "cut"]).astype({"cut": object})
+    table = [(source, int(b), e, t, greatest.get(source) if c else None) for t, (_, _, source, b, e, c) in enumerate(rows)]
     common.delete(spark, at)
     return Schedule(spark, seed, stats, table)
 
