@@ -91,10 +91,10 @@ class CountTree:
             self.renewed += len(self.text)
             return
         at, first = self.boundary(max(0, start - 1))
-        while at and (old[at - 1].isspace() or old[at : at + 1].isspace()):
-            at, first = self.boundary(at - 1)
         if at:
             at, first = self.boundary(at - 1)
+        while at and old[at - 1].isspace():
+            at, first = self.boundary(at - 1)
         shift = len(new) - (end - start)
         pieces: list[str] = []
         here, stop = at, start + len(new)
