@@ -152,7 +152,7 @@ def show_after_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     store.delete("materialized.json")
     store.delete("materialized")
     catalog = star_catalog(spark, sf_dir)
-    whole = catalog.frames["purchase"]
+    whole = catalog.frame("purchase")
     catalog.frames["purchase"] = whole.where("timestamp < 1705276800")
     q = parse("QUERY purchase WHERE value > 20")
     held = Materializations(catalog, store)

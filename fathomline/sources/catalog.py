@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import time
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,19 +23,30 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, registry: SchemaRegistry | None = None):
         self.spark, self.registry = spark, registry or SchemaRegistry()
-        self.frames: dict[str, DataFrame] = {}
+        self.frames: dict[str, DataFrame | Callable[[], DataFrame]] = {}
 
-    def register(self, event_type: str, frame: DataFrame, fields: dict[str, Any]) -> EventSchema:
+    def register(self, event_type: str, frame: DataFrame | Callable[[], DataFrame], fields: dict[str, Any]) -> EventSchema:
+        """A frame, or a function that makes it when it is first asked for (so that files of other types aren't looked at)."""
         schema = self.registry.schemas.get(event_type) or self.registry.define(event_type, fields)
-        self.frames[event_type] = frame.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in schema.struct()))
+        self.frames[event_type] = frame
         return schema
 
+    def registered(self, event_type: str) -> DataFrame:
+        frame = self.frames[event_type]
+        if callable(frame):
+            frame = frame()
+        struct = self.schema(event_type).struct()
+        if frame.schema != struct:
+            frame = frame.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in struct))
+        self.frames[event_type] = frame
+        return frame
+
     def schema(self, event_type: str) -> EventSchema:
         return self.registry.get(event_type)
 
     def frame(self, event_type: str) -> DataFrame:
         schema = self.schema(event_type)
-        return self.frames[event_type] if event_type in self.frames else self.spark.createDataFrame([], schema.struct())
+        return self.registered(event_type) if event_type in self.frames else self.spark.createDataFrame([], schema.struct())
 
     def wildcard(self, event_types: list[str] | None = None) -> DataFrame:
         """All types' events; columns of one name and different types become text."""
@@ -106,7 +118,7 @@ class EventLog(Catalog):
     def frame(self, event_type: str) -> DataFrame:
         struct = self.schema(event_type).struct()
         if event_type in self.frames:
-            out = self.frames[event_type]
+            out = self.registered(event_type)
         elif self.store_files.exists(f"events/{event_type}"):
             out = self.spark.read.schema(struct).parquet(self.folder(event_type))
         else:
