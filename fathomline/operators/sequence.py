@@ -3,6 +3,10 @@
 FOLLOWED BY takes the earliest B at or after A, PRECEDED BY the latest B before A; at equal times the event ids decide.
 A B may serve many As; As without B and rows without link value are left out. Link values of texts and of numbers do
 not meet. Both directions run through a link's rows once, with a frame that only grows.
+
+With `slice_seconds` a link's rows are dealt out by time as well, so that a link with very many rows is many tasks: the
+nearest B is looked for within its slice, and where that has none, the next slice's edge is carried over from a table
+of one row for each link and slice.
 """
 
 from __future__ import annotations
@@ -37,8 +41,8 @@ def _side(frame: DataFrame, schema: EventSchema, q: Query, columns: tuple[str, .
     return rows.where(F.col(f"`{link}`").isNotNull()).select(F.col(f"`{link}`").cast("string").alias("link"), F.col(f"`{time_field(schema, q.using_time)}`").alias("ts"), F.col("event_id").alias("id"), F.struct(*(F.col(f"`{n}`") for n in names)).alias("row"))
 
 
-def pairs(a_frame: DataFrame, a: EventSchema, b_frame: DataFrame, b: EventSchema, q: Query, compat: bool = False) -> DataFrame:
-    """(link, first_ts, a, b): one row for each match; a and b are structs. compat: in PRECEDED BY, only links whose first B is before their first A."""
+def pairs(a_frame: DataFrame, a: EventSchema, b_frame: DataFrame, b: EventSchema, q: Query, compat: bool = False, slice_seconds: int | None = None) -> DataFrame:
+    """(link, ts, a, b): one row for each match; a and b are structs. compat: in PRECEDED BY, only links whose first B is before their first A."""
     if len(q.links) != 1:
         raise CommandError("a sequence has two event types")
     if not q.linked_by:
@@ -55,8 +59,17 @@ def pairs(a_frame: DataFrame, a: EventSchema, b_frame: DataFrame, b: EventSchema
     both = left.select("link", "ts", "id", F.lit(0).alias("is_b"), F.col("row").alias("a"), F.lit(None).cast(right.schema["row"].dataType).alias("b"))
     both = both.unionByName(right.select("link", "ts", "id", F.lit(1).alias("is_b"), F.lit(None).cast(left.schema["row"].dataType).alias("a"), F.col("row").alias("b")))
     keys = [F.col(c).desc() if followed else F.col(c).asc() for c in ("ts", "is_b", "id")]
-    near = Window.partitionBy("link").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    out = both.withColumn("near", F.last("b", ignorenulls=True).over(near))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(*by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    if slice_seconds:
+        both = both.withColumn("slice", F.floor(F.col("ts") / slice_seconds))
+        out = both.withColumn("near", F.last("b", ignorenulls=True).over(before("link", "slice", keys)))
+        edge = (F.min_by if followed else F.max_by)("b", F.when(F.col("is_b") == 1, F.struct("ts", "id")))
+        slices = both.groupBy("link", "slice").agg(edge.alias("edge"))
+        order = [F.col("slice").desc() if followed else F.col("slice").asc()]
+        slices = slices.select("link", "slice", F.last("edge", ignorenulls=True).over(before("link", order)).alias("carried"))
+        out = out.join(slices, ["link", "slice"]).withColumn("near", F.coalesce("near", "carried"))
+    else:
+        out = both.withColumn("near", F.last("b", ignorenulls=True).over(before("link", keys)))
     if q.limit is not None or compat:
         out = out.withColumn("first_ts", F.min("ts").over(Window.partitionBy("link")))
     if compat and not followed:
@@ -84,9 +97,9 @@ def events(matches: DataFrame, followed: bool) -> DataFrame:
     return out.select(*CORE, "match", "place", *(f"`{c}`" for c in out.columns if c not in (*CORE, "match", "place")))
 
 
-def sequence(a_frame: DataFrame, a: EventSchema, b_frame: DataFrame, b: EventSchema, q: Query, compat: bool = False) -> DataFrame:
+def sequence(a_frame: DataFrame, a: EventSchema, b_frame: DataFrame, b: EventSchema, q: Query, compat: bool = False, slice_seconds: int | None = None) -> DataFrame:
     if q.aggs:
         raise CommandError("metrics over a sequence are not supported")
     if q.offset is not None and q.limit is None:
         raise CommandError("OFFSET needs LIMIT")
-    return events(pairs(a_frame, a, b_frame, b, q, compat), q.links[0].followed)
+    return events(pairs(a_frame, a, b_frame, b, q, compat, slice_seconds), q.links[0].followed)

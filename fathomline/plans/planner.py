@@ -14,7 +14,7 @@ from ..operators.sequence import sequence
 from ..sources.catalog import Catalog
 
 
-def plan(command: Query | CompareQueries | Replay, catalog: Catalog, options: BucketOptions = BucketOptions(), compat: bool = False) -> DataFrame:
+def plan(command: Query | CompareQueries | Replay, catalog: Catalog, options: BucketOptions = BucketOptions(), compat: bool = False, slice_seconds: int | None = None) -> DataFrame:
     if isinstance(command, CompareQueries):
         return compare(command, lambda q: grouped(catalog.frame(q.event_type), catalog.schema(q.event_type), q, options))
     if isinstance(command, Replay):
@@ -26,7 +26,7 @@ def plan(command: Query | CompareQueries | Replay, catalog: Catalog, options: Bu
         if len(command.links) > 1:
             raise CommandError("a sequence has two event types")
         other = command.links[0].event_type
-        return sequence(frame, schema, catalog.frame(other), catalog.schema(other), command, compat)
+        return sequence(frame, schema, catalog.frame(other), catalog.schema(other), command, compat, slice_seconds)
     if command.aggs or command.bucket or command.by:
         return aggregate(frame, schema, command, options)
     return select(frame, schema, command)

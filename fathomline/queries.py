@@ -120,8 +120,8 @@ TEXT |= {
 }
 
 
-def run_text(spark: SparkSession, sf_dir: str, command: str, options: BucketOptions = BucketOptions(), compat: bool = False) -> DataFrame:
-    out = plan(parse(command), star_catalog(spark, sf_dir), options, compat)
+def run_text(spark: SparkSession, sf_dir: str, command: str, options: BucketOptions = BucketOptions(), compat: bool = False, slice_seconds: int | None = None) -> DataFrame:
+    out = plan(parse(command), star_catalog(spark, sf_dir), options, compat, slice_seconds)
     return out.toDF(*(c.replace(".", "_") for c in out.columns))
 
 
@@ -181,6 +181,8 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "wildcard_scan": (wildcard_scan, "SELECT event_type, count(*) AS n, min(timestamp) AS first, max(timestamp) AS last FROM (" + " UNION ALL ".join([f"SELECT event_type, timestamp FROM {ev(k)}" for k in ("click", "error", "purchase", "signup", "view")] + [f"SELECT event_type, timestamp FROM {ORDERS}", f"SELECT event_type, timestamp FROM {ITEMS}"]) + ") GROUP BY 1"),
     "distinct_by_id": (distinct_by_id, f"SELECT {ALL} FROM {ev('view')}"),
     "show_after_delta": (show_after_delta, f"SELECT {ALL} FROM {ev('purchase')} WHERE value > 20"),
+    "seq_followed_sliced": (functools.partial(run_text, command=TEXT["seq_followed"][0], slice_seconds=86_400), TEXT["seq_followed"][1]),
+    "seq_preceded_sliced": (functools.partial(run_text, command=TEXT["seq_preceded"][0], slice_seconds=20_000), TEXT["seq_preceded"][1]),
     "json_query": (json_query, f"SELECT {ALL} FROM {ev('purchase')} WHERE k >= 10 AND NOT user_id IN (1, 2, 3) ORDER BY event_id DESC LIMIT 30"),
 }
 

@@ -19,13 +19,13 @@ from .sources.catalog import EventLog
 
 
 class Engine:
-    """Events, schemas, users and remembered results under one folder. `user` (None: no check) is who gives a command."""
+    """Events, schemas, users and remembered results under one folder. `user` (None: no check) is who gives a command. slice_seconds: see operators.sequence."""
 
-    def __init__(self, spark: SparkSession, root: str, options: BucketOptions = BucketOptions(), compat: bool = False):
+    def __init__(self, spark: SparkSession, root: str, options: BucketOptions = BucketOptions(), compat: bool = False, slice_seconds: int | None = None):
         self.log = EventLog(spark, root)
         self.access = Access(self.log.store_files)
         self.materialized = Materializations(self.log, self.log.store_files)
-        self.options, self.compat = options, compat
+        self.options, self.compat, self.slice_seconds = options, compat, slice_seconds
 
     def execute(self, command: str | dict | Any, user: str | None = None) -> DataFrame | list | str:
         """Queries give a lazy frame, BATCH a list, other commands a message."""
@@ -72,7 +72,7 @@ class Engine:
 
     def rows(self, c: ast.Query | ast.CompareQueries | ast.Replay, user: str | None) -> DataFrame:
         self.read(user, c)
-        return plan(c, self.log, self.options, self.compat)
+        return plan(c, self.log, self.options, self.compat, self.slice_seconds)
 
     def manage(self, c: Any, user: str | None):
         self.access.need_admin(user)
