@@ -100,8 +100,10 @@ def brute(a, b, followed):
     return sorted(out)
 
 
+@pytest.mark.parametrize("slice_seconds", [None, 86_400, 10**7])
 @pytest.mark.parametrize("followed", [True, False])
-def test_sequences(engine, followed):
+def test_sequences(engine, followed, slice_seconds):
+    engine.slice_seconds = slice_seconds
     word = "FOLLOWED" if followed else "PRECEDED"
     frame = engine.execute(f"QUERY visit {word} BY buy LINKED BY user USING TIME made")
     key = lambda frame: [(r["user"], r["made"], r["event_id"]) for r in frame.collect()]
