@@ -110,7 +110,7 @@ def may_hold(ids: DataFrame, column: str, most_bits: int = 26) -> Callable[[Colu
 class Memo(dict):
     """What compute gives for a key. The first `core` keys stay, of the others the last `recent`: memory is bounded, results aren't touched."""
 
-    def __init__(self, compute: Callable, core: int = 400_000, recent: int = 250_000):
+    def __init__(self, compute: Callable, core: int = 600_000, recent: int = 250_000):
         super().__init__()
         self.compute, self.core, self.recent, self.late = compute, core, recent, {}
 

@@ -1,4 +1,4 @@
-"""Byte-level BPE by pre-tokens: each distinct pre-token is encoded once by the tokenizers library and remembered.
+"""Byte-level BPE by pre-tokens: each distinct pre-token is encoded by the tokenizers library and remembered.
 
 A byte-level BPE never merges across pre-tokens, so the ids of a text are those of its pre-tokens, one after the
 other. Texts that hold an added token's string go to the library whole, as it takes these out first.
@@ -6,6 +6,7 @@ other. Texts that hold an added token's string go to the library whole, as it ta
 
 from __future__ import annotations
 
+import functools
 import json
 from array import array
 
@@ -28,6 +29,12 @@ def _byte_chars() -> dict[int, str]:
 BYTE_CHARS = _byte_chars()
 
 
+@functools.lru_cache(maxsize=1)
+def cache_of(text: str) -> PretokenCache:
+    """This worker's cache, which later tasks find as earlier ones left it."""
+    return PretokenCache(text)
+
+
 def load_json(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()

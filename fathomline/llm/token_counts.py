@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
-from .pretoken import PretokenCache, load_json
+from .pretoken import PretokenCache, cache_of, load_json
 
 LEAF, FAN = 64, 16
 #: Characters that are split beyond an edit at a time.
@@ -158,7 +158,7 @@ def count_after_edits(docs: DataFrame, tokenizer: str, edits: Callable[[str], li
     shared = docs.sparkSession.sparkContext.broadcast(load_json(tokenizer))  # a vocabulary: bounded
 
     def run(batches):
-        cache = PretokenCache(shared.value)
+        cache = cache_of(shared.value)
         for batch in common.slices(batches):
             out = []
             for text in batch.column("text").to_pylist():

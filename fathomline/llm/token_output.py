@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, huffman
-from .pretoken import PretokenCache, load_json
+from .pretoken import cache_of, load_json
 
 MAGIC, VERSION = b"FLHT", 1
 HEAD = struct.Struct("<4sHHIIQ")
@@ -45,7 +45,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     schema = "doc_id long, ids binary, width int"
 
     def make():
-        cache = PretokenCache(shared.value)
+        cache = cache_of(shared.value)
         end = np.array([end_id], cache.dtype).tobytes()
         width = cache.dtype().itemsize
 
