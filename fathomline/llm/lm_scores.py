@@ -22,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -272,6 +273,16 @@ def iterate(rows: DataFrame, model: Hmm) -> Hmm:
     return Hmm.of_counts(whole[n], whole[n + 1], whole[n + 2 :], whole[:n])
 
 
+def frequent_words(counts: DataFrame, most: int | None = None) -> pd.DataFrame:
+    """The most frequent words in order of count, then hash; at most `most`. Where many share the last counts, those are left out together (in eighths of a power of 2), so that no task sends more than its own."""
+    most = FREQUENT if most is None else most
+    step = F.floor(F.log2("n") * 8)
+    sizes = counts.groupBy(step.alias("b")).count().toPandas().sort_values("b", ascending=False)  # a row for each step of the scale
+    fits = sizes[sizes["count"].cumsum() <= most]
+    least = int(fits["b"].min()) if len(fits) else 1 << 20
+    return counts.where(step >= least).toPandas().sort_values(["n", "h"], ascending=[False, True], ignore_index=True)
+
+
 def scored(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -279,7 +290,7 @@ def scored(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     counts, counts_at = common.write_table(count_words(train), "counts")
     n_train = train.select("doc_id").count()
     by_class = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()  # CLASSES rows
-    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    top = frequent_words(counts)
     own = top.iloc[:SYMBOLS]
     n_all, v_all = int(by_class["n"].sum()) + n_train, int(by_class["v"].sum()) + (n_train > 0)
     unigram, room, kinds = np.zeros(END + 1), np.zeros(CLASSES), np.zeros(CLASSES)
