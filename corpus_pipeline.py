@@ -14,6 +14,8 @@ from fathomline.llm import common, mixing, near_dups, secret_scan, sentence_piec
 
 #: Most passes over a source, where the largest source has one.
 MOST_PASSES = 1.5
+#: Near duplicates share this part of their 5-word shingles at least (op7's own contract has 85).
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest doc_id, of each group of near duplicates."""
-    return near_dups.dedup(docs)
+    return near_dups.dedup(docs, NEAR_PERCENT)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Near duplicates of word shingles by an LSH forest of MinHash signatures, confirmed on full sets.
 
-1. Each whole text becomes the set of its 5-word shingles (64-bit hashes), a fingerprint of that set and TREES labels.
-   Each label is the first DEPTH values of the signature in one of TREES orders, hashed; texts whose labels agree are
-   neighbours in that sorted order with a common prefix of DEPTH values at least. A link at the threshold shares no
-   label with probability (1 - 0.85**9)**40 = 3e-5.
+1. Each whole text becomes the set of its 5-word shingles (64-bit hashes), a fingerprint of that set and a label for
+   each of a number of trees. Each label is the first values of the signature in one order, hashed; texts whose labels
+   agree are neighbours in that sorted order with a common prefix of that depth at least. Depth and trees follow from
+   the threshold (`forest`): a link at it shares no label with probability 3e-5, (1 - 0.85**9)**40 or (1 - 0.8**8)**57.
 2. Texts with equal sets count once, as the smallest doc_id (aggregated before the shuffle).
 3. In each order, those with a common prefix are candidates of the smallest doc_id among them. The components of this
    candidate graph are families: every link lies within a family, apart from those missed in 1.
@@ -29,7 +29,9 @@ kept. Rows that repeat a doc_id and text are all returned. Other columns are ign
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -39,20 +41,35 @@ from pyspark.sql import functions as F
 from . import common
 from .graph import connected_components
 
-WORDS, DEPTH, TREES = 5, 9, 40
-#: Links: 100 * intersection >= PERCENT * union.
+WORDS = 5
+#: Links: 100 * intersection >= percent * union; PERCENT where none is given.
 PERCENT = 85
+#: Depth at PERCENT, and how probably a link at any threshold may share no label.
+DEPTH, MISS = 9, 3e-5
 #: Shingles of a family (or of one side of a tile) that a task holds.
 FAMILY = 250_000
 #: Members of a large family from which its core is taken.
 CORE = 64
 
-_rng = np.random.default_rng(20)
-_A, _B = (_rng.integers(0, 1 << 32, DEPTH * TREES, dtype=np.uint32) | np.uint32(1) for _ in range(2))
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _POWERS = np.array([pow(int(_STEP), k, 1 << 64) for k in range(WORDS)], np.uint64)
 
 
+def forest(percent: int) -> tuple[int, int]:
+    """(depth, trees) for links from percent on: shallower below PERCENT, and as many trees as MISS needs."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent {percent} isn't from 1 to 100")
+    depth = max(1, round(DEPTH * percent / PERCENT))
+    return depth, math.ceil(math.log(MISS) / math.log1p(-((min(percent, 99) / 100) ** depth)))
+
+
+@functools.cache
+def _orders(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20)
+    a, b = (rng.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1) for _ in range(2))
+    return a, b
+
+
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all rows' distinct shingles, ascending in each row; number of each row)."""
     value, starts, *_ = common.word_hashes(column)
@@ -79,24 +96,26 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return acc[new], np.bincount(row[new], minlength=len(count))
 
 
-def labels(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def labels(flat: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """A label for each row and tree (rows without shingles: zeros)."""
+    depth, trees = forest(percent)
+    first, second = _orders(depth * trees)
     full = np.flatnonzero(sizes)
-    out = np.zeros((len(sizes), TREES), np.int64)
+    out = np.zeros((len(sizes), trees), np.int64)
     if not len(full):
         return out
     low, high = flat.astype(np.uint32), (flat >> np.uint64(32)).astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-    for tree in range(TREES):
+    for tree in range(trees):
         acc = np.full(len(full), tree + 1, np.uint64)
-        for k in range(tree * DEPTH, (tree + 1) * DEPTH):
-            least = np.minimum.reduceat(low * _A[k] + high * _B[k], starts)
+        for k in range(tree * depth, (tree + 1) * depth):
+            least = np.minimum.reduceat(low * first[k] + high * second[k], starts)
             acc = common.mix64(acc * _STEP + least)
         out[full, tree] = acc.view(np.int64)
     return out
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, print, labels) of each whole text."""
 
     def make():
@@ -105,8 +124,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                 flat, sizes = shingle_sets(batch.column("text"))
                 ends = np.cumsum(sizes)
                 marks = [hashlib.blake2b(flat[e - n : e].tobytes(), digest_size=16).digest() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                label = labels(flat, sizes)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * TREES, pa.int32()), pa.array(label.ravel()))], names=["doc_id", "n_shingles", "print", "labels"])
+                label = labels(flat, sizes, percent)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * label.shape[1], pa.int32()), pa.array(label.ravel()))], names=["doc_id", "n_shingles", "print", "labels"])
 
         return run
 
@@ -116,20 +135,20 @@ def signatures(docs: DataFrame) -> DataFrame:
 # --- one family in memory ------------------------------------------------------------------------------------------
 
 
-def linked(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 100 * both >= PERCENT * (a + b - both)
+def linked(both: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * both >= percent * (a + b - both)
 
 
 class Family:
     """Components of a family's sets: `root` gives each set's smallest index reachable by links."""
 
-    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
-        self.n, self.size = len(sizes), sizes.astype(np.int64)
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, percent: int = PERCENT):
+        self.n, self.size, self.percent = len(sizes), sizes.astype(np.int64), percent
         self.at = np.concatenate([[0], np.cumsum(self.size)])
         self.parent = np.arange(self.n)
         if self.n == 2:
             both = len(np.intersect1d(flat[: sizes[0]], flat[sizes[0] :], assume_unique=True))
-            if linked(both, *self.size):
+            if linked(both, *self.size, percent):
                 self.parent[1] = 0
         elif self.n > 2:
             values, self.token = np.unique(flat, return_inverse=True)
@@ -166,10 +185,10 @@ class Family:
             core = np.bincount(token, minlength=self.n_tokens) * 2 > len(left)
             size = self.size[left]
             far = size + core.sum() - 2 * self.shared(core, token, start)
-            hub = left[np.argmin((100 + PERCENT) * far - (100 - PERCENT) * size)]
+            hub = left[np.argmin((100 + self.percent) * far - (100 - self.percent) * size)]
             mark = np.zeros(self.n_tokens, bool)
             mark[self.tokens(np.array([hub]))[0]] = True
-            link = linked(self.shared(mark, token, start), size, self.size[hub])
+            link = linked(self.shared(mark, token, start), size, self.size[hub], self.percent)
             for i in left[link].tolist():
                 self.join(i, int(hub))
             rest = left[~link]
@@ -187,7 +206,7 @@ class Family:
         doc = np.repeat(np.arange(self.n), self.size)
         order = np.lexsort((rank[self.token], doc))
         nth = np.arange(len(doc)) - self.at[doc]
-        length = self.size - (PERCENT * self.size + 99) // 100 + 1
+        length = self.size - (self.percent * self.size + 99) // 100 + 1
         use = nth < length[doc]
         token, doc = self.token[order][use], doc[use]
         order = np.argsort(token, kind="stable")
@@ -206,7 +225,7 @@ class Family:
                 top = self.find(i)
                 others = docs[k + 1 :]
                 small, large = np.minimum(self.size[others], self.size[i]), np.maximum(self.size[others], self.size[i])
-                others = [j for j in others[100 * small >= PERCENT * large].tolist() if (i, j) not in seen and self.find(j) != top]
+                others = [j for j in others[100 * small >= self.percent * large].tolist() if (i, j) not in seen and self.find(j) != top]
                 if not others:
                     continue
                 mine = self.token[self.at[i] : self.at[i + 1]]
@@ -216,14 +235,14 @@ class Family:
                     if not len(ids):
                         continue
                     tokens, start = self.tokens(ids)
-                    link = linked(self.shared(mark, tokens, start), self.size[ids], self.size[i])
+                    link = linked(self.shared(mark, tokens, start), self.size[ids], self.size[i], self.percent)
                     for j in ids[link].tolist():
                         self.join(i, j)
                     seen.update((i, j) for j in ids[~link].tolist())
                 mark[mine] = False
 
 
-def _resolved(docs: DataFrame, key: list[str]) -> DataFrame:
+def _resolved(docs: DataFrame, key: list[str], percent: int) -> DataFrame:
     """(rep, component) within each key of docs(key, rep, print, text or set), each key whole in one task."""
     has_text = "text" in docs.columns
     content = "text" if has_text else "set"
@@ -237,7 +256,7 @@ def _resolved(docs: DataFrame, key: list[str]) -> DataFrame:
                     prints.add((rep, mark))
                     reps.append(rep)
                     sets.append(s)
-            root = Family(np.concatenate(sets), np.array([len(s) for s in sets])).root
+            root = Family(np.concatenate(sets), np.array([len(s) for s in sets]), percent).root
             reps = np.array(reps, np.int64)
             least = reps.copy()
             np.minimum.at(least, root, reps)
@@ -295,7 +314,7 @@ def _distance(rows: DataFrame, other: str, schema: str, out) -> DataFrame:
     return common.map_arrow(rows, make, schema)
 
 
-def _large_links(docs: DataFrame, families: DataFrame) -> DataFrame:
+def _large_links(docs: DataFrame, families: DataFrame, percent: int) -> DataFrame:
     """(a, b) edges that join the components of families too large for a task. docs: family, rep, print, text."""
     spark = docs.sparkSession
 
@@ -320,10 +339,10 @@ def _large_links(docs: DataFrame, families: DataFrame) -> DataFrame:
         return pd.DataFrame({"family": pdf["family"].iloc[:1], "core": [flat[2 * n > len(pdf)].tobytes()]})
 
     cores = few.groupBy("family").applyInPandas(core, "family long, core binary")
-    near = _distance(sets.join(cores, "family"), "core", "family long, rep long, g long", lambda batch, both, a, b: pa.RecordBatch.from_arrays([batch.column("family"), batch.column("rep"), pa.array((100 + PERCENT) * (a + b - 2 * both) - (100 - PERCENT) * a)], names=["family", "rep", "g"]))
+    near = _distance(sets.join(cores, "family"), "core", "family long, rep long, g long", lambda batch, both, a, b: pa.RecordBatch.from_arrays([batch.column("family"), batch.column("rep"), pa.array((100 + percent) * (a + b - 2 * both) - (100 - percent) * a)], names=["family", "rep", "g"]))
     hubs = near.groupBy("family").agg(F.min(F.struct("g", "rep")).alias("m")).select("family", F.col("m.rep").alias("hub"))
     hubs = hubs.join(sets.select(F.col("rep").alias("hub"), F.col("set").alias("hub_set")), "hub").dropDuplicates(["family"])
-    seen, _ = common.write_table(_distance(sets.join(hubs, "family", "left").withColumn("hub_set", F.coalesce("hub_set", F.lit(b""))), "hub_set", "family long, rep long, hub long, n long, link boolean", lambda batch, both, a, b: pa.RecordBatch.from_arrays([batch.column("family"), batch.column("rep"), batch.column("hub"), batch.column("n"), pa.array(linked(both, a, b) & (b > 0))], names=["family", "rep", "hub", "n", "link"])), "seen")
+    seen, _ = common.write_table(_distance(sets.join(hubs, "family", "left").withColumn("hub_set", F.coalesce("hub_set", F.lit(b""))), "hub_set", "family long, rep long, hub long, n long, link boolean", lambda batch, both, a, b: pa.RecordBatch.from_arrays([batch.column("family"), batch.column("rep"), batch.column("hub"), batch.column("n"), pa.array(linked(both, a, b, percent) & (b > 0))], names=["family", "rep", "hub", "n", "link"])), "seen")
     rest = seen.where(~F.col("link"))
     edges = seen.where("link").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     if rest.isEmpty():
@@ -334,17 +353,17 @@ def _large_links(docs: DataFrame, families: DataFrame) -> DataFrame:
     a_side = every.join(rest.select("rep"), "rep", "left_semi").withColumn("block", place(1, "blocks")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     b_side = every.withColumn("chunk", place(2, "chunks")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     columns = ["family", "block", "chunk", "rep", "print", "set"]
-    tiles = _resolved(a_side.select(columns).union(b_side.select(columns)), ["family", "block", "chunk"])
+    tiles = _resolved(a_side.select(columns).union(b_side.select(columns)), ["family", "block", "chunk"], percent)
     return edges.union(tiles.select(F.col("rep").alias("a"), F.col("component").alias("b")))
 
 
 # --- the operator --------------------------------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, family_limit: int = FAMILY) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text)."""
+def near_duplicates(docs: DataFrame, family_limit: int = FAMILY, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text); texts link from percent on."""
     spark = docs.sparkSession
-    signed, signed_at = common.write_table(signatures(docs), "signatures")
+    signed, signed_at = common.write_table(signatures(docs, percent), "signatures")
     reps, reps_at = common.write_table(signed.where("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min(F.struct("doc_id", "n_shingles", "labels")).alias("m")).select("print", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), F.col("m.labels").alias("labels")), "reps")
     label = reps.select("rep", F.explode("labels").alias("label"))
     regions = label.groupBy("label").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").select("label", "first")
@@ -356,9 +375,9 @@ def near_duplicates(docs: DataFrame, family_limit: int = FAMILY) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("rep"), "text").where(F.col("rep").isNotNull())
     texts = texts.where(common.may_hold(members, "rep")(F.col("rep")))  # others' texts aren't shuffled
     small = members.join(large.select("family"), "family", "left_anti") if any_large else members
-    found = _resolved(texts.join(small.hint("merge"), "rep"), ["family"])
+    found = _resolved(texts.join(small.hint("merge"), "rep"), ["family"], percent)
     if any_large:
-        edges = _large_links(texts.join(members.join(large.select("family"), "family"), "rep"), large)
+        edges = _large_links(texts.join(members.join(large.select("family"), "family"), "rep"), large, percent)
         found = found.union(connected_components(edges).select(F.col("node").alias("rep"), "component"))
     found, _ = common.write_table(found, "found")
     by_print = reps.select("print", "rep").join(found.groupBy("rep").agg(F.min("component").alias("component")), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
@@ -370,9 +389,9 @@ def near_duplicates(docs: DataFrame, family_limit: int = FAMILY) -> DataFrame:
     return out
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without near duplicates: of each component the smallest doc_id stays, and one row of it if rows repeat it."""
-    found = near_duplicates(docs)
+    found = near_duplicates(docs, percent=percent)
     again = not found.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty()
     gone, _ = common.write_table(found.where("not kept").select("doc_id").distinct(), "gone")
     maybe = F.col("doc_id").isNotNull() & common.may_hold(gone, "doc_id")(F.col("doc_id"))
@@ -384,7 +403,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    return near_duplicates(common.table(spark, sf_dir, "documents"))
+    return near_duplicates(common.table(spark, sf_dir, "documents"), percent=PERCENT)
 
 
 #: The same by brute force: all pairs that share a shingle, and components by recursion.

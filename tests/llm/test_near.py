@@ -140,3 +140,55 @@ def test_bitmap_never_says_no_to_a_member(spark):
     test = common.may_hold(ids, "x")
     got = {r["id"] for r in rows.where(test(rows["id"])).collect()}
     assert set(range(0, 3000, 3)) <= got and len(got) < 4000
+
+
+def reachable(sets, percent):
+    """Least index of each set's component, by links from percent on."""
+    links = [[j for j, b in enumerate(sets) if a and 100 * len(a & b) >= percent * len(a | b)] for a in sets]
+    out = list(range(len(sets)))
+    for i in range(len(sets)):
+        todo = [i] if out[i] == i else []
+        while todo:
+            todo += [j for j in links[todo.pop()] if out[j] > i and not out.__setitem__(j, i)]
+    return out
+
+
+def graded(seed, percents=range(76, 92)):
+    """Pairs of 200 words whose shingle sets have similarities from under 0.8 to over 0.85, and a star."""
+    rng = random.Random(seed)
+    texts = star(rng, 20, 100, 2)
+    for p in percents:
+        for _ in range(3):
+            base = [f"g{rng.randrange(10**9)}" for _ in range(200)]
+            tail = round(196 * (1 - p / 100) / (1 + p / 100))  # this many last words differ
+            texts += [" ".join(base), " ".join(base[: 200 - tail] + [f"h{rng.randrange(10**9)}" for _ in range(tail)])]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("limit", [near_dups.FAMILY, 400])
+@pytest.mark.parametrize("percent", [80, 85])
+def test_links_from_a_given_percentage_on(spark, percent, limit, monkeypatch):
+    monkeypatch.setattr(near_dups, "FAMILY", limit)
+    rows = graded(5)
+    want = reachable([shingles(t) for _, t in rows], percent)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicates(docs, limit, percent).collect()}
+    assert [got[d] for d, _ in rows] == want
+    assert want != reachable([shingles(t) for _, t in rows], 165 - percent)
+
+
+def test_the_forest_misses_no_more_at_a_lower_threshold():
+    assert near_dups.forest(85) == (9, 40)
+    for percent in range(50, 101):
+        depth, trees = near_dups.forest(percent)
+        assert (1 - (percent / 100) ** depth) ** trees <= 3e-5
+
+
+def test_the_stage_drops_copies_from_080_on(spark):
+    import corpus_pipeline as pipe
+
+    rows = graded(6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"] for r in pipe.drop_near_duplicates(spark, docs, "").collect()}
+    assert left == set(reachable([shingles(t) for _, t in rows], 80))
