@@ -44,6 +44,12 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]+", 0, 32),
 )
+#: A private key whole: up to its END line; where the next dashes are no such line, all header and base64 lines that follow.
+PEM = (
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+    r"(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    r"|(?:\s+(?:Proc-Type|DEK-Info):[^\r\n]*)*(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{16,}={0,2}|[\r\n]\s*[A-Za-z0-9+/]+={0,2}[\x20\t]*(?=[\r\n]|\Z))*)"
+)
 #: Public formats of well-known services.
 ADDED = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
@@ -51,7 +57,7 @@ ADDED = (
     Rule("slack", r"xox[abprs]-[0-9A-Za-z-]{10,}"),
     Rule("stripe", r"[sr]k_live_[0-9A-Za-z]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("pem", PEM),
 )
 RULES = BASE + ADDED
 
