@@ -1,11 +1,11 @@
-"""Near duplicates of word shingles by an LSH forest of MinHash signatures, confirmed on full sets.
+"""Near duplicates of word shingles by fixed banding of MinHash signatures, confirmed on full sets.
 
 1. Each whole text becomes the set of its 5-word shingles (64-bit hashes), a fingerprint of that set and a label for
-   each of a number of trees. Each label is the first values of the signature in one order, hashed; texts whose labels
-   agree are neighbours in that sorted order with a common prefix of that depth at least. Depth and trees follow from
+   each of a number of trees. Each label is a hash of as many MinHash values as the depth says; texts are candidates where a
+   label is equal. Nothing is sorted, and all regions have the same depth. Depth and trees follow from
    the threshold (`forest`): a link at it shares no label with probability 3e-5, (1 - 0.85**9)**40 or (1 - 0.8**8)**57.
 2. Texts with equal sets count once, as the smallest doc_id (aggregated before the shuffle).
-3. In each order, those with a common prefix are candidates of the smallest doc_id among them. The components of this
+3. In each tree, those with the same label are candidates of the smallest doc_id among them. The components of this
    candidate graph are families: every link lies within a family, apart from those missed in 1.
 4. Families are resolved on full sets, whole. A family of at most FAMILY shingles is one piece of a task's work:
    - The shingles that more than half of the family have form a core. If the differences of two sets from the core
