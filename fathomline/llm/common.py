@@ -108,13 +108,15 @@ def may_hold(ids: DataFrame, column: str, most_bits: int = 26) -> Callable[[Colu
 
 
 class Memo(dict):
-    """What compute gives for a key. The first `core` keys stay, of the others the last `recent`: memory is bounded, results aren't touched."""
+    """What compute gives for a key. The first `core` keys stay, of the others the last `recent`, and keys over `longest` characters never: memory is bounded, results aren't touched."""
 
-    def __init__(self, compute: Callable, core: int = 600_000, recent: int = 250_000):
+    def __init__(self, compute: Callable, core: int = 600_000, recent: int = 250_000, longest: int = 64):
         super().__init__()
-        self.compute, self.core, self.recent, self.late = compute, core, recent, {}
+        self.compute, self.core, self.recent, self.longest, self.late = compute, core, recent, longest, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.compute(key)
         got = self.late.get(key)
         if got is None:
             got = self.compute(key)

@@ -9,8 +9,8 @@ doc_id, and each block can be decoded alone. A block, little-endian:
     the documents' bits, most significant first, each document from a whole byte on
     crc32 u32 of all the above
 
-Steps: texts are tokenised once (table of ids), ids are counted (a row for each id and task is shuffled), documents
-are coded where they lie, and only coded documents are shuffled, by range of doc_id. The driver gets at most one row
+Steps: texts are tokenised once (table of ids, with the counts of each task's ids in a row of its own), the counts are
+added up (a row for each id and task is shuffled), documents are coded where they lie, and only coded documents are shuffled, by range of doc_id. The driver gets at most one row
 for each id of the vocabulary and for each part.
 
 Null texts are empty; a document always has its end id. A null doc_id sorts first. Rows that repeat a doc_id are
@@ -39,10 +39,14 @@ BLOCK_IDS = 1 << 18
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, ids as little-endian bytes of 2 or 4 each, width) of each whole text and its end id."""
+    """(doc_id, ids as little-endian bytes of 2 or 4 each, width, counts) of each whole text and its end id.
+
+    Each task ends with a row that has counts (how often each id came, 8 bytes each) and nothing else.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load_json(tokenizer))  # a vocabulary: bounded
-    schema = "doc_id long, ids binary, width int"
+    schema = "doc_id long, ids binary, width int, counts binary"
+    names = ["doc_id", "ids", "width", "counts"]
 
     def make():
         cache = cache_of(shared.value)
@@ -50,9 +54,12 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         width = cache.dtype().itemsize
 
         def run(batches):
+            total = np.zeros(0, np.int64)
             for batch in common.slices(batches):
                 ids = [cache.encode(t or "") + end for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(np.full(len(ids), width, np.int32))], names=["doc_id", "ids", "width"])
+                total = added(total, np.bincount(np.frombuffer(b"".join(ids), cache.dtype)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(np.full(len(ids), width, np.int32)), pa.nulls(len(ids), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([total.tobytes()], pa.binary())], names=names)
 
         return run
 
@@ -66,25 +73,30 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(rows), f"<u{width}"), np.array([len(r) // width for r in rows], np.int64)
 
 
+def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Counts by id, of which one array may reach further than the other."""
+    if len(a) < len(b):
+        a, b = b, a
+    a = a.astype(np.int64)
+    a[: len(b)] += b
+    return a
+
+
 def count_ids(ids: DataFrame) -> DataFrame:
-    """(id, n) over all documents, added up in each task first."""
+    """(id, n) over all documents, from the tasks' counts; no ids are read."""
 
     def make():
         def run(batches):
             total = np.zeros(0, np.int64)
-            for batch in common.slices(batches, "ids"):
-                n = np.bincount(_ids(batch)[0])
-                if len(n) > len(total):
-                    n[: len(total)] += total
-                    total = n
-                else:
-                    total[: len(n)] += n
+            for batch in batches:
+                for x in batch.column("counts").to_pylist():
+                    total = added(total, np.frombuffer(x, np.int64))
             seen = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(total[seen])], names=["id", "n"])
 
         return run
 
-    return common.map_arrow(ids.select("ids", "width"), make, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return common.map_arrow(ids.select("counts").where("counts is not null"), make, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_documents(ids: DataFrame, lengths: np.ndarray) -> DataFrame:
@@ -101,7 +113,7 @@ def code_documents(ids: DataFrame, lengths: np.ndarray) -> DataFrame:
 
         return run
 
-    return common.map_arrow(ids, make, "doc_id long, tie long, n long, bits binary, groups binary")
+    return common.map_arrow(ids.where("width is not null").select("doc_id", "ids", "width"), make, "doc_id long, tie long, n long, bits binary, groups binary")
 
 
 def block_bytes(doc_ids: list, sizes: list[int], bits: list[bytes], groups: list[bytes], start: int) -> bytes:
