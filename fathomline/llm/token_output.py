@@ -41,11 +41,11 @@ BLOCK_IDS = 1 << 18
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(doc_id, ids as little-endian bytes of 2 or 4 each, width, counts) of each whole text and its end id.
 
-    Each task ends with a row that has counts (how often each id came, 8 bytes each) and nothing else.
+    Each task ends with a row that has counts (how often each id came, in order of id) and nothing else.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load_json(tokenizer))  # a vocabulary: bounded
-    schema = "doc_id long, ids binary, width int, counts binary"
+    schema = "doc_id long, ids binary, width int, counts array<long>"
     names = ["doc_id", "ids", "width", "counts"]
 
     def make():
@@ -58,8 +58,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             for batch in common.slices(batches):
                 ids = [cache.encode(t or "") + end for t in batch.column("text").to_pylist()]
                 total = added(total, np.bincount(np.frombuffer(b"".join(ids), cache.dtype)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(np.full(len(ids), width, np.int32)), pa.nulls(len(ids), pa.binary())], names=names)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.array([total.tobytes()], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(np.full(len(ids), width, np.int32)), pa.nulls(len(ids), pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(total)], pa.int32()), pa.array(total))], names=names)
 
         return run
 
@@ -84,19 +84,8 @@ def added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def count_ids(ids: DataFrame) -> DataFrame:
     """(id, n) over all documents, from the tasks' counts; no ids are read."""
-
-    def make():
-        def run(batches):
-            total = np.zeros(0, np.int64)
-            for batch in batches:
-                for x in batch.column("counts").to_pylist():
-                    total = added(total, np.frombuffer(x, np.int64))
-            seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(total[seen])], names=["id", "n"])
-
-        return run
-
-    return common.map_arrow(ids.select("counts").where("counts is not null"), make, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    each = ids.where("counts is not null").select(F.posexplode("counts").alias("id", "n")).where("n > 0")
+    return each.groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_documents(ids: DataFrame, lengths: np.ndarray) -> DataFrame:
