@@ -9,7 +9,12 @@ from . import common
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of every node of an edge; component: the smallest node reachable.
+    """(node, component) of every node of an edge; component: the smallest node reachable. See components_at."""
+    return components_at(edges, a, b)[0]
+
+
+def components_at(edges: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, list[str]]:
+    """((node, component) of every node of an edge, paths that it reads); component: the smallest node reachable.
 
     In each round every node takes the smallest of itself and its neighbours as its parent (aggregated before the
     shuffle, so a node with very many edges is no task of its own), and edges are replaced by those between parents.
@@ -29,11 +34,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         now, at = common.write_table(up.select("pa", "pb").union(chain).select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
         paths.append(at)
     if not parents:
-        return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return now.select(F.col("a").alias("node"), F.col("b").alias("component")), paths
     out = parents[0].select("node", F.col("parent").alias("component"))
     for p in parents[1:]:
         step = p.select(F.col("node").alias("component"), F.col("parent").alias("next"))
         out = out.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-    out, _ = common.write_table(out, "components")
+    out, out_at = common.write_table(out, "components")
     common.delete(spark, *paths)
-    return out
+    return out, [out_at]

@@ -1,13 +1,18 @@
-"""Near duplicates of word shingles by fixed banding of MinHash signatures, confirmed on full sets.
+"""Near duplicates of word shingles by an LSH forest of MinHash signatures, confirmed on full sets.
 
-1. Each whole text becomes the set of its 5-word shingles (64-bit hashes), a fingerprint of that set and a label for
-   each of a number of trees. Each label is a hash of as many MinHash values as the depth says; texts are candidates where a
-   label is equal. Nothing is sorted, and all regions have the same depth. Depth and trees follow from
-   the threshold (`forest`): a link at it shares no label with probability 3e-5, (1 - 0.85**9)**40 or (1 - 0.8**8)**57.
+1. Each whole text becomes the set of its 5-word shingles (64-bit hashes), a fingerprint of that set and a key for each
+   of a number of orders: MinHash values, 8 bits each, as many as the greatest depth.
 2. Texts with equal sets count once, as the smallest doc_id (aggregated before the shuffle).
-3. In each tree, those with the same label are candidates of the smallest doc_id among them. The components of this
-   candidate graph are families: every link lies within a family, apart from those missed in 1.
-4. Families are resolved on full sets, whole. A family of at most FAMILY shingles is one piece of a task's work:
+3. Each order is sorted by key, over all tasks (by ranges of key, so a crowded region is many tasks), and every key is
+   compared with its neighbour. A region is a run of keys whose neighbours share a prefix of the base depth. In a region
+   of at most CROWDED keys all neighbours are candidates. In a crowded one the depth grows, part by part, until a
+   part is not crowded or the greatest depth is reached; neighbours within a part are candidates. As only their
+   components count, they are written as edges to the smallest doc_id of the part, which are sooner contracted.
+   A link shares no prefix of the base depth in any order with probability 3e-5 (`forest`). A greater depth loses more,
+   so the texts of crowded regions are sorted in further orders, as many as the greatest depth needs to lose as little.
+   Region sizes are counted within a task; where a task or a chunk ends inside a region, that only makes more candidates.
+4. The components of the candidates are families: every link lies within a family, apart from those missed in 3.
+   Families are resolved on full sets, whole. A family of at most FAMILY shingles is one piece of a task's work:
    - The shingles that more than half of the family have form a core. If the differences of two sets from the core
      have nothing in common, whether they link depends on the sizes alone, and then both link with the hub, the set
      nearest the core. So all are compared with the hub, and those left over again among themselves, as long as a
@@ -18,10 +23,9 @@
    left over are then compared with all of the family in tiles of at most FAMILY shingles a side.
 5. Links outside small families are joined to components.
 
-
-Depth is not cut short in regions of many texts, as that would lose links; regions are compressed by 2 and by hubs
-instead. The texts of families (told from others by a bitmap of bounded size first) are shuffled twice; of all others only
-fingerprints and labels are.
+The texts of families (told from others by a bitmap of bounded size first) are shuffled twice, those of crowded regions
+once more; of all others only fingerprints and keys are. The driver gets two keys of each task, for neighbours in
+different tasks.
 
 Texts without words, null texts: n_shingles 0, linked with nothing. Rows with null doc_id: likewise, component null,
 kept. Rows that repeat a doc_id and text are all returned. Other columns are ignored, and kept by `dedup`.
@@ -35,17 +39,22 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .graph import connected_components
+from .graph import components_at
 
 WORDS = 5
 #: Links: 100 * intersection >= percent * union; PERCENT where none is given.
 PERCENT = 85
-#: Depth at PERCENT, and how probably a link at any threshold may share no label.
+#: Base depth at PERCENT, and how probably a link at any threshold may share no prefix of a depth.
 DEPTH, MISS = 9, 3e-5
+#: Keys that share a prefix from which on a region is crowded; rows of an order that are compared at a time.
+CROWDED, CHUNK = 128, 1 << 20
+#: A key's values: LEFT of them stand beside the order's number in its first half, the others in its second.
+LEFT, MOST = 6, 14
 #: Shingles of a family (or of one side of a tile) that a task holds.
 FAMILY = 250_000
 #: Members of a large family from which its core is taken.
@@ -55,12 +64,22 @@ _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _POWERS = np.array([pow(int(_STEP), k, 1 << 64) for k in range(WORDS)], np.uint64)
 
 
+def orders_for(percent: int, depth: int) -> int:
+    """Orders with which a link at percent shares a prefix of this depth in one of them, but for MISS."""
+    return math.ceil(math.log(MISS) / math.log1p(-((min(percent, 99) / 100) ** depth)))
+
+
 def forest(percent: int) -> tuple[int, int]:
-    """(depth, trees) for links from percent on: shallower below PERCENT, and as many trees as MISS needs."""
+    """(base depth, orders) for links from percent on: shallower below PERCENT, and as many orders as MISS needs."""
     if not 1 <= percent <= 100:
         raise ValueError(f"percent {percent} isn't from 1 to 100")
     depth = max(1, round(DEPTH * percent / PERCENT))
-    return depth, math.ceil(math.log(MISS) / math.log1p(-((min(percent, 99) / 100) ** depth)))
+    return depth, orders_for(percent, depth)
+
+
+def deepest(percent: int) -> int:
+    """The greatest depth: half as much again as the base, and MOST at most."""
+    return min(MOST, -(-3 * forest(percent)[0] // 2))
 
 
 @functools.cache
@@ -96,27 +115,33 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return acc[new], np.bincount(row[new], minlength=len(count))
 
 
-def labels(flat: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """A label for each row and tree (rows without shingles: zeros)."""
-    depth, trees = forest(percent)
-    first, second = _orders(depth * trees)
+def order_keys(flat: np.ndarray, sizes: np.ndarray, orders: range, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the key of each row and order: the order's number and LEFT values, then the others (rows without shingles: zeros)."""
+    first, second = _orders(depth * orders.stop)
     full = np.flatnonzero(sizes)
-    out = np.zeros((len(sizes), trees), np.int64)
+    left, right = (np.zeros((len(sizes), len(orders)), np.uint64) for _ in range(2))
     if not len(full):
-        return out
+        return left.view(np.int64), right.view(np.int64)
     low, high = flat.astype(np.uint32), (flat >> np.uint64(32)).astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-    for tree in range(trees):
-        acc = np.full(len(full), tree + 1, np.uint64)
-        for k in range(tree * depth, (tree + 1) * depth):
-            least = np.minimum.reduceat(low * first[k] + high * second[k], starts)
-            acc = common.mix64(acc * _STEP + least)
-        out[full, tree] = acc.view(np.int64)
-    return out
+    for i, order in enumerate(orders):
+        half = [np.full(len(full), order, np.uint64) << np.uint64(8 * LEFT), np.zeros(len(full), np.uint64)]
+        for k in range(depth):
+            at = order * depth + k
+            least = np.minimum.reduceat(low * first[at] + high * second[at], starts)
+            value = common.mix64(least.astype(np.uint64) + _STEP) >> np.uint64(56)
+            half[k >= LEFT] |= value << np.uint64(8 * (LEFT - 1 - k if k < LEFT else MOST - 1 - k))
+        left[full, i], right[full, i] = half
+    return left.view(np.int64), right.view(np.int64)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
 
 
 def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, print, labels) of each whole text."""
+    """(doc_id, n_shingles, print, lefts, rights) of each whole text: its keys in all orders."""
+    orders, depth = range(forest(percent)[1]), deepest(percent)
 
     def make():
         def run(batches):
@@ -124,12 +149,126 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 flat, sizes = shingle_sets(batch.column("text"))
                 ends = np.cumsum(sizes)
                 marks = [hashlib.blake2b(flat[e - n : e].tobytes(), digest_size=16).digest() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                label = labels(flat, sizes, percent)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * label.shape[1], pa.int32()), pa.array(label.ravel()))], names=["doc_id", "n_shingles", "print", "labels"])
+                left, right = order_keys(flat, sizes, orders, depth)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), _lists(left), _lists(right)], names=["doc_id", "n_shingles", "print", "lefts", "rights"])
 
         return run
 
-    return common.map_arrow(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, print binary, labels array<long>")
+    return common.map_arrow(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, print binary, lefts array<long>, rights array<long>")
+
+
+# --- the forest ----------------------------------------------------------------------------------------------------
+
+
+def same_prefix(left: np.ndarray, right: np.ndarray, depth: int) -> np.ndarray:
+    """Whether neighbours in a sorted order have this many values in common."""
+    x = (left[1:] ^ left[:-1]).view(np.uint64)
+    if depth <= LEFT:
+        return x >> np.uint64(8 * (LEFT - depth)) == 0
+    return (x == 0) & ((right[1:] ^ right[:-1]).view(np.uint64) >> np.uint64(8 * (MOST - depth)) == 0)
+
+
+def neighbours(left: np.ndarray, right: np.ndarray, base: int, deep: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each sorted key and the next are candidates, whether each key's region is crowded)."""
+    near, crowded = np.zeros(max(0, len(left) - 1), bool), np.zeros(len(left), bool)
+    for depth in range(base, deep + 1):
+        same = same_prefix(left, right, depth)
+        part = np.concatenate([[0], np.cumsum(~same)])
+        many = np.bincount(part)[part] > most
+        if depth == base:
+            crowded = many
+        near |= same & ~many[1:] if depth < deep else same
+    return near, crowded
+
+
+def candidates(keys: DataFrame, base: int, deep: int, most: int | None = None) -> tuple[DataFrame, str]:
+    """((a, b) of candidates, and (a, null) of texts in crowded regions; path) for keys(left, right, rep)."""
+    most, chunk = CROWDED if most is None else most, CHUNK
+    ordered = keys.repartitionByRange("left", "right", "rep").sortWithinPartitions("left", "right", "rep")
+    schema = "a long, b long, part int, place int, left long, right long, crowded boolean"
+
+    def told(a, b):
+        n = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(a), b, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], names=[x.split()[0] for x in schema.split(", ")])
+
+    def run(batches):
+        part, ends, before = TaskContext.get().partitionId(), [], None
+        for left, right, rep in chunks(batches):
+            near, crowded = neighbours(left, right, base, deep, most)
+            starts = np.flatnonzero(np.concatenate([[True], ~near]))
+            least = np.repeat(np.minimum.reduceat(rep, starts), np.diff(np.append(starts, len(rep))))
+            yield told(rep[rep != least], pa.array(least[rep != least]))
+            alone = np.unique(rep[crowded])
+            yield told(alone, pa.nulls(len(alone), pa.int64()))
+            first, last = ((int(left[k]), int(right[k]), int(rep[k]), bool(crowded[k])) for k in (0, -1))
+            if before and meet(before, first, base, deep):
+                yield told(np.array([before[2]]), pa.array([first[2]], pa.int64()))
+            ends, before = [ends[0] if ends else first, last], last
+        if ends:
+            columns = list(zip(*ends, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[2], pa.int64()), pa.nulls(2, pa.int64()), pa.array([part] * 2, pa.int32()), pa.array([0, 1], pa.int32()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[3])], names=[x.split()[0] for x in schema.split(", ")])
+
+    def chunks(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= chunk:
+                yield arrays(held)
+                held, n = [], 0
+        if n:
+            yield arrays(held)
+
+    def arrays(held):
+        rows = pa.Table.from_batches(held)
+        return tuple(rows.column(c).to_numpy() for c in ("left", "right", "rep"))
+
+    found, at = common.write_table(ordered.mapInArrow(run, schema), "candidates")
+    ends = sorted(found.where("part is not null").select("part", "place", "left", "right", "a", "crowded").collect())  # two rows of each task
+    ends = [(r["left"], r["right"], r["a"], r["crowded"]) for r in ends]
+    across = [(x[2], y[2]) for x, y in zip(ends[1::2], ends[2::2], strict=False) if meet(x, y, base, deep)]
+    out = found.where("part is null").select("a", "b")
+    return (out.union(keys.sparkSession.createDataFrame(across, "a long, b long")) if across else out), at
+
+
+def meet(x: tuple, y: tuple, base: int, deep: int) -> bool:
+    """Whether the last key of one run of rows and the first of the next (left, right, rep, crowded) are candidates."""
+    left, right = (np.array([x[k], y[k]], np.int64) for k in (0, 1))
+    return bool(same_prefix(left, right, deep if x[3] or y[3] else base)[0])
+
+
+def further_keys(docs: DataFrame, percent: int) -> DataFrame:
+    """(left, right, rep) of docs(rep, text) in the orders beyond the forest's that its greatest depth needs."""
+    deep = deepest(percent)
+    orders = range(forest(percent)[1], orders_for(percent, deep))
+
+    def make():
+        def run(batches):
+            for batch in common.slices(batches, limit=1 << 20):
+                flat, sizes = shingle_sets(batch.column("text"))
+                full = sizes > 0
+                left, right = order_keys(flat, sizes, orders, deep)
+                rep = batch.column("rep").to_numpy()[full]
+                yield pa.RecordBatch.from_arrays([pa.array(left[full].ravel()), pa.array(right[full].ravel()), pa.array(np.repeat(rep, len(orders)))], names=["left", "right", "rep"])
+
+        return run
+
+    return common.map_arrow(docs.select("rep", "text"), make, "left long, right long, rep long")
+
+
+def candidate_edges(reps: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
+    """((a, b) of candidates, paths): reps(rep, lefts, rights), texts(rep, text)."""
+    base, deep = forest(percent)[0], deepest(percent)
+    keys = reps.select("rep", F.explode(F.arrays_zip("lefts", "rights")).alias("k")).select(F.col("k.lefts").alias("left"), F.col("k.rights").alias("right"), "rep")
+    found, found_at = candidates(keys, base, deep)
+    crowded, crowded_at = common.write_table(found.where("b is null").select(F.col("a").alias("rep")).distinct(), "crowded")
+    edges, paths = found.where("b is not null"), [found_at, crowded_at]
+    if deep > base and not crowded.isEmpty():
+        theirs = texts.where(common.may_hold(crowded, "rep")(F.col("rep"))).join(crowded.hint("merge"), "rep")
+        more, more_at = common.write_table(further_keys(theirs, percent), "further")
+        again, again_at = candidates(more, deep, deep)
+        edges, paths = edges.union(again.where("b is not null")), [*paths, more_at, again_at]
+    return edges, paths
 
 
 # --- one family in memory ------------------------------------------------------------------------------------------
@@ -314,9 +453,8 @@ def _distance(rows: DataFrame, other: str, schema: str, out) -> DataFrame:
     return common.map_arrow(rows, make, schema)
 
 
-def _large_links(docs: DataFrame, families: DataFrame, percent: int) -> DataFrame:
-    """(a, b) edges that join the components of families too large for a task. docs: family, rep, print, text."""
-    spark = docs.sparkSession
+def _large_links(docs: DataFrame, families: DataFrame, percent: int) -> tuple[DataFrame, list[str]]:
+    """((a, b) edges, paths): edges that join the components of families too large for a task. docs: family, rep, print, text."""
 
     def to_sets():
         def run(batches):
@@ -328,7 +466,7 @@ def _large_links(docs: DataFrame, families: DataFrame, percent: int) -> DataFram
 
         return run
 
-    sets, _ = common.write_table(common.map_arrow(docs.select("family", "rep", "print", "text"), to_sets, "family long, rep long, print binary, n long, set binary"), "sets")
+    sets, sets_at = common.write_table(common.map_arrow(docs.select("family", "rep", "print", "text"), to_sets, "family long, rep long, print binary, n long, set binary"), "sets")
     salt = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / float(1 << 30)
     few = sets.join(families, "family").where(salt * F.col("members") < CORE).select("family", "set")
 
@@ -342,11 +480,11 @@ def _large_links(docs: DataFrame, families: DataFrame, percent: int) -> DataFram
     near = _distance(sets.join(cores, "family"), "core", "family long, rep long, g long", lambda batch, both, a, b: pa.RecordBatch.from_arrays([batch.column("family"), batch.column("rep"), pa.array((100 + percent) * (a + b - 2 * both) - (100 - percent) * a)], names=["family", "rep", "g"]))
     hubs = near.groupBy("family").agg(F.min(F.struct("g", "rep")).alias("m")).select("family", F.col("m.rep").alias("hub"))
     hubs = hubs.join(sets.select(F.col("rep").alias("hub"), F.col("set").alias("hub_set")), "hub").dropDuplicates(["family"])
-    seen, _ = common.write_table(_distance(sets.join(hubs, "family", "left").withColumn("hub_set", F.coalesce("hub_set", F.lit(b""))), "hub_set", "family long, rep long, hub long, n long, link boolean", lambda batch, both, a, b: pa.RecordBatch.from_arrays([batch.column("family"), batch.column("rep"), batch.column("hub"), batch.column("n"), pa.array(linked(both, a, b, percent) & (b > 0))], names=["family", "rep", "hub", "n", "link"])), "seen")
+    seen, seen_at = common.write_table(_distance(sets.join(hubs, "family", "left").withColumn("hub_set", F.coalesce("hub_set", F.lit(b""))), "hub_set", "family long, rep long, hub long, n long, link boolean", lambda batch, both, a, b: pa.RecordBatch.from_arrays([batch.column("family"), batch.column("rep"), batch.column("hub"), batch.column("n"), pa.array(linked(both, a, b, percent) & (b > 0))], names=["family", "rep", "hub", "n", "link"])), "seen")
     rest = seen.where(~F.col("link"))
     edges = seen.where("link").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     if rest.isEmpty():
-        return edges
+        return edges, [sets_at, seen_at]
     parts = rest.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY).cast("int").alias("blocks")).join(families, "family").withColumn("chunks", F.ceil(F.col("shingles") / FAMILY).cast("int"))
     place = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), F.col("rep")), F.col(n)).cast("int")
     every = sets.join(parts, "family")
@@ -354,7 +492,7 @@ def _large_links(docs: DataFrame, families: DataFrame, percent: int) -> DataFram
     b_side = every.withColumn("chunk", place(2, "chunks")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     columns = ["family", "block", "chunk", "rep", "print", "set"]
     tiles = _resolved(a_side.select(columns).union(b_side.select(columns)), ["family", "block", "chunk"], percent)
-    return edges.union(tiles.select(F.col("rep").alias("a"), F.col("component").alias("b")))
+    return edges.union(tiles.select(F.col("rep").alias("a"), F.col("component").alias("b"))), [sets_at, seen_at]
 
 
 # --- the operator --------------------------------------------------------------------------------------------------
@@ -362,33 +500,41 @@ def _large_links(docs: DataFrame, families: DataFrame, percent: int) -> DataFram
 
 def near_duplicates(docs: DataFrame, family_limit: int = FAMILY, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text); texts link from percent on."""
-    spark = docs.sparkSession
     signed, signed_at = common.write_table(signatures(docs, percent), "signatures")
-    reps, reps_at = common.write_table(signed.where("n_shingles > 0 and doc_id is not null").groupBy("print").agg(F.min(F.struct("doc_id", "n_shingles", "labels")).alias("m")).select("print", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), F.col("m.labels").alias("labels")), "reps")
-    label = reps.select("rep", F.explode("labels").alias("label"))
-    regions = label.groupBy("label").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").select("label", "first")
-    families = connected_components(label.join(regions, "label").where("rep != first").select(F.col("rep").alias("a"), F.col("first").alias("b")))
+    full = signed.where("n_shingles > 0 and doc_id is not null")
+    reps, reps_at = common.write_table(full.groupBy("print").agg(F.min(F.struct("doc_id", "n_shingles", "lefts", "rights")).alias("m"), F.count(F.lit(1)).alias("copies")).select("print", "copies", F.col("m.doc_id").alias("rep"), F.col("m.n_shingles").alias("n"), F.col("m.lefts").alias("lefts"), F.col("m.rights").alias("rights")), "reps")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").where(F.col("rep").isNotNull())
+    edges, paths = candidate_edges(reps, texts, percent)
+    families, families_at = components_at(edges)
     members, members_at = common.write_table(families.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(reps.select("rep", "print", "n"), "rep"), "members")
     sizes = members.groupBy("family").agg(F.sum("n").alias("shingles"), F.count(F.lit(1)).alias("members"))
     large, large_at = common.write_table(sizes.where(F.col("shingles") > family_limit), "large")
+    paths += [signed_at, reps_at, *families_at, members_at, large_at]
     any_large = not large.isEmpty()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").where(F.col("rep").isNotNull())
     texts = texts.where(common.may_hold(members, "rep")(F.col("rep")))  # others' texts aren't shuffled
     small = members.join(large.select("family"), "family", "left_anti") if any_large else members
     found = _resolved(texts.join(small.hint("merge"), "rep"), ["family"], percent)
     if any_large:
-        edges = _large_links(texts.join(members.join(large.select("family"), "family"), "rep"), large, percent)
-        found = found.union(connected_components(edges).select(F.col("node").alias("rep"), "component"))
-    found, _ = common.write_table(found, "found")
-    by_print = reps.select("print", "rep").join(found.groupBy("rep").agg(F.min("component").alias("component")), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "print").join(by_print, "print", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+        edges, more = _large_links(texts.join(members.join(large.select("family"), "family"), "rep"), large, percent)
+        joined, joined_at = components_at(edges)
+        found, paths = found.union(joined.select(F.col("node").alias("rep"), "component")), [*paths, *more, *joined_at]
+    found, found_at = common.write_table(found, "found")
+    by_print = reps.select("print", "copies", "rep").join(found.groupBy("rep").agg(F.min("component").alias("component")), "rep", "left").select("print", "copies", F.coalesce("component", "rep").alias("component"))
+    out = _by_print(full, by_print).union(signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     out, _ = common.write_table(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near")
-    common.delete(spark, signed_at, reps_at, members_at, large_at)
+    common.delete(docs.sparkSession, *paths, found_at)
     return out
 
 
+def _by_print(rows: DataFrame, by_print: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of rows. Fingerprints of more than a thousandth of all rows, a thousand at most, are joined without a shuffle."""
+    many = rows.count() // 1000 + 1
+    hot = by_print.where(F.col("copies") > many).select(F.col("print").alias("hot_print"), F.col("component").alias("hot"))
+    marked = rows.select("doc_id", "n_shingles", "print").join(F.broadcast(hot), F.col("print") == F.col("hot_print"), "left")
+    rest = marked.where("hot is null").select("doc_id", "n_shingles", "print").join(by_print.where(F.col("copies") <= many), "print")
+    return marked.where("hot is not null").select("doc_id", "n_shingles", F.col("hot").alias("component_id")).union(rest.select("doc_id", "n_shingles", F.col("component").alias("component_id")))
+
+
 def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without near duplicates: of each component the smallest doc_id stays, and one row of it if rows repeat it."""
     found = near_duplicates(docs, percent=percent)

@@ -192,3 +192,28 @@ def test_the_stage_drops_copies_from_080_on(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = {r["doc_id"] for r in pipe.drop_near_duplicates(spark, docs, "").collect()}
     assert left == set(reachable([shingles(t) for _, t in rows], 80))
+
+
+@pytest.mark.parametrize("most", [2, 10])
+def test_crowded_regions_are_exact_too(spark, most, monkeypatch):
+    monkeypatch.setattr(near_dups, "CROWDED", most)
+    monkeypatch.setattr(near_dups, "CHUNK", 50)
+    rows = corpus(8)
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == expected(rows)
+
+
+def test_neighbours_as_by_hand():
+    rng = np.random.default_rng(5)
+    values = np.sort(rng.integers(0, 3, (400, 14)).astype(np.uint8).view("S14").ravel()).view(np.uint8).reshape(-1, 14)
+    values = values[np.lexsort(values.T[::-1])]
+    left, right = (sum(values[:, a + k].astype(np.uint64) << np.uint64(8 * (n - 1 - k)) for k in range(n)).view(np.int64) for a, n in ((0, 6), (6, 8)))
+    common_prefix = [int(np.argmin(np.append(x == y, False))) for x, y in zip(values[:-1], values[1:])]
+    near, crowded = near_dups.neighbours(left, right, 2, 4, 12)
+
+    def region(i, depth):
+        return sum((values[:, :depth] == values[i, :depth]).all(1))
+
+    for i, n in enumerate(common_prefix):
+        assert near[i] == any(n >= d and (region(i, d) <= 12 or d == 4) for d in (2, 3, 4))
+    assert crowded.tolist() == [region(i, 2) > 12 for i in range(400)]
