@@ -6,12 +6,13 @@ symbols of their own; every other word is its class, by its last two bytes, and
 
 Training: in each iteration every task runs scaled forward and backward recursions over its documents and gives the
 expected counts, a row for each symbol; they are summed by symbol, and the driver (a row for each symbol: bounded)
-sets the new probabilities. Documents are trained in pieces of PIECE symbols, with start probabilities of their own
-for pieces inside a document. Scoring does not cut: the scaled forward recursion runs over the whole document. Of a
-document over LONG symbols it is done on segments at once, as products of their transfer matrices, which is the same
-likelihood.
+sets the new probabilities. The pieces of a document of more than PIECE symbols run at once: products of their transfer
+matrices give the state probabilities at each piece's begin and what follows its end, so the counts, those of
+transitions between pieces too, are the same as without pieces. Scoring runs the scaled forward recursion over the
+whole document. Of a document over LONG symbols it is done on segments at once, as products of their transfer matrices,
+which is the same likelihood.
 
-The counts of the FREQUENT most frequent words are sent to all tasks. Other words of a document are joined with the
+The counts of the FREQUENT most frequent words (ties by hash) are sent to all tasks. Other words of a document are joined with the
 counts by hash, after adding up in the document, so no table of all words has to fit anywhere.
 
 Null and empty texts have the end token alone. Rows with null doc_id belong to the training rows. Rows that repeat a
@@ -31,7 +32,7 @@ from . import common
 
 STATES, SYMBOLS, CLASSES, ITERATIONS = 8, 4096, 512, 4
 FREQUENT = 200_000
-PIECE, LONG, SEGMENT = 256, 16_384, 256
+PIECE, LONG, SEGMENT = 1024, 16_384, 256
 END = SYMBOLS + CLASSES
 FOLDS = 10
 ADD = 0.1
@@ -140,24 +141,32 @@ def prepared(docs: DataFrame, symbols: Lookup, frequent: Lookup) -> DataFrame:
 
 
 class Hmm:
-    """start, inner (start of pieces inside a document), move (from, to) and emit (symbol, state) probabilities."""
+    """start, move (from, to) and emit (symbol, state) probabilities."""
 
-    def __init__(self, start, inner, move, emit):
-        self.start, self.inner, self.move, self.emit = start, inner, move, emit
+    def __init__(self, start, move, emit):
+        self.start, self.move, self.emit = start, move, emit
 
     @classmethod
     def begun(cls, unigram: np.ndarray, states: int = STATES, seed: int = 1) -> Hmm:
         rng = np.random.default_rng(seed)
         emit = (unigram[:, None] + ADD) * np.exp(rng.standard_normal((len(unigram), states)))
         move = 0.9 * np.eye(states) + 0.1 / states  # states that last, such as a language or a topic
-        even = np.full(states, 1 / states)
-        return cls(even, even, move, emit / emit.sum(0))
+        return cls(np.full(states, 1 / states), move, emit / emit.sum(0))
 
     @classmethod
     def of_counts(cls, start, inner, move, emit) -> Hmm:
-        to = lambda x: x / x.sum()
+        """The next model; inner (states at the begin of later pieces) is only told."""
         move, emit = move + 1.0, emit + ADD / emit.shape[1]
-        return cls(to(start + 1.0), to(inner + 1.0), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+        return cls((start + 1.0) / (start + 1.0).sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+
+    def transfers(self, text: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Of each column's symbols (live: how many columns still have one) the product of move and emission, up to a factor."""
+        k = len(self.start)
+        out = np.tile(np.eye(k), (text.shape[1], 1, 1))
+        for t, m in enumerate(live.tolist()):
+            x = (out[:m].reshape(m * k, k) @ self.move).reshape(m, k, k) * self.emit[text[t, :m]][:, None, :]
+            out[:m] = x / x.max((1, 2), keepdims=True)
+        return out
 
     def expected(self, syms: list[np.ndarray], counts: list[np.ndarray]) -> None:
         """Adds the expected counts [start, inner, move, emit] of the sequences."""
@@ -174,22 +183,25 @@ class Hmm:
         for j, i in enumerate(order):
             text[: size[j], j] = pieces[i]
         live = np.searchsorted(-size, -np.arange(width), "left")
+        before, after = self.edges(text, size, live, inside, order)
         alpha, scale = np.zeros((width, n, k)), np.ones((width, n))
         for t in range(width):
             m = live[t]
-            prior = np.where(inside[:, None], self.inner, self.start) if t == 0 else alpha[t - 1, :m] @ self.move
+            prior = np.where(inside[:, None], before @ self.move, self.start) if t == 0 else alpha[t - 1, :m] @ self.move
             a = prior[:m] * self.emit[text[t, :m]]
             scale[t, :m] = s = a.sum(1)
             alpha[t, :m] = a / s[:, None]
-        beta = np.ones((n, k))
+        beta = after / (alpha[size - 1, np.arange(n)] * after).sum(1, keepdims=True)
         gamma = np.zeros((width, n, k))
         for t in range(width - 1, -1, -1):
             m = live[t]
             gamma[t, :m] = alpha[t, :m] * beta[:m]
+            back = self.emit[text[t, :m]] * beta[:m] / scale[t, :m, None]
             if t:
-                back = self.emit[text[t, :m]] * beta[:m] / scale[t, :m, None]
                 counts[2] += self.move * (alpha[t - 1, :m].T @ back)
                 beta[:m] = back @ self.move.T
+            else:
+                counts[2] += self.move * (before[inside].T @ back[inside])
         counts[0] += gamma[0][~inside].sum(0)
         counts[1] += gamma[0][inside].sum(0)
         here = np.arange(width)[:, None] < size
@@ -197,6 +209,39 @@ class Hmm:
         for j in range(k):
             counts[3][:, j] += np.bincount(flat, weights=g[:, j], minlength=len(self.emit))
 
+    def edges(self, text: np.ndarray, size: np.ndarray, live: np.ndarray, inside: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state probabilities at the end of the piece before, likelihood of all pieces after given each state at the end, up to a factor) of each piece."""
+        n, k = len(size), len(self.start)
+        before, after = np.zeros((n, k)), np.ones((n, k))
+        if not inside.any():
+            return before, after
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)  # of each piece in its document's order
+        later = inside[place]
+        at = np.flatnonzero(inside)
+        many = np.searchsorted(at, live)  # how many of them still have a symbol
+        transfer = np.zeros((n, k, k))
+        transfer[at] = self.transfers(text[:, at], many)
+        firsts = np.flatnonzero(later[1:] & ~later[:-1])  # first pieces that have another after them
+        col = place[firsts]
+        state = self.start * self.emit[text[0, col]]
+        state /= state.sum(1, keepdims=True)
+        for t in range(1, PIECE):  # these are full
+            state = (state @ self.move) * self.emit[text[t, col]]
+            state /= state.sum(1, keepdims=True)
+        begun = dict(zip(firsts.tolist(), state, strict=True))
+        for i in range(1, n):
+            if later[i]:
+                before[place[i]] = begun[i - 1] if not later[i - 1] else self.to_one(before[place[i - 1]] @ transfer[place[i - 1]])
+        for i in range(n - 2, -1, -1):
+            if later[i + 1]:
+                after[place[i]] = self.to_one(transfer[place[i + 1]] @ after[place[i + 1]])
+        return before, after
+
+    @staticmethod
+    def to_one(x: np.ndarray) -> np.ndarray:
+        return x / x.sum()
+
     def likelihoods(self, syms: list[np.ndarray]) -> np.ndarray:
         """log10 likelihood of each whole sequence."""
         out = np.zeros(len(syms))
@@ -261,7 +306,7 @@ def iterate(rows: DataFrame, model: Hmm) -> Hmm:
 
     def run(batches):
         counts = [np.zeros(states), np.zeros(states), np.zeros((states, states)), np.zeros((n, states))]
-        for batch in common.slices(batches, "syms", 1 << 20):
+        for batch in common.slices(batches, "syms", 1 << 19):
             shared.value.expected(_syms(batch), counts)
         whole = np.concatenate([counts[3], counts[0][None], counts[1][None], counts[2]])
         used = np.flatnonzero(whole.any(1))
@@ -274,13 +319,39 @@ def iterate(rows: DataFrame, model: Hmm) -> Hmm:
 
 
 def frequent_words(counts: DataFrame, most: int | None = None) -> pd.DataFrame:
-    """The most frequent words in order of count, then hash; at most `most`. Where many share the last counts, those are left out together (in eighths of a power of 2), so that no task sends more than its own."""
+    """The `most` most frequent words, in order of count, then hash, without a top list from each task.
+
+    A count that few enough reach is found first, by steps of an eighth of a power of 2, then within the step that goes
+    too far. Of the words with that very count the least hashes are taken, by a share of all hashes that holds enough.
+    """
     most = FREQUENT if most is None else most
     step = F.floor(F.log2("n") * 8)
-    sizes = counts.groupBy(step.alias("b")).count().toPandas().sort_values("b", ascending=False)  # a row for each step of the scale
-    fits = sizes[sizes["count"].cumsum() <= most]
-    least = int(fits["b"].min()) if len(fits) else 1 << 20
-    return counts.where(step >= least).toPandas().sort_values(["n", "h"], ascending=[False, True], ignore_index=True)
+
+    def reach(rows: DataFrame, key, room: int) -> tuple[int | None, int]:
+        """(the key that goes beyond room, what is left of the room before it)."""
+        for r in sorted(rows.groupBy(key.alias("b")).count().collect(), key=lambda r: -r["b"]):  # a row for each step, or each count of a step
+            if r["count"] > room:
+                return r["b"], room
+            room -= r["count"]
+        return None, room
+
+    last, room = reach(counts, step, most)
+    if last is None:
+        found = counts.toPandas()
+    else:
+        found = counts.where(step > last).toPandas()
+        level, left = reach(counts.where(step == last), F.col("n"), room)
+        ties = counts.where(F.col("n") == level)
+        found = pd.concat([found, counts.where((step == last) & (F.col("n") > level)).toPandas()])
+        share = (2.0 * left + 1000) / ties.count()
+        while left:
+            upto = -(1 << 63) + int(min(1.0, share) * ((1 << 64) - 1))
+            part = ties.where(F.col("h") <= upto).toPandas()
+            if len(part) >= left:
+                found = pd.concat([found, part.sort_values("h").iloc[:left]])
+                break
+            share *= 4
+    return found.astype({"h": "int64", "n": "int64", "class": "int64"}).sort_values(["n", "h"], ascending=[False, True], ignore_index=True)
 
 
 def scored(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
