@@ -92,10 +92,10 @@ def merged(found: DataFrame, k: int) -> DataFrame:
 
 def block_join(table: DataFrame, k: int = tiles.K) -> DataFrame:
     """(query_id, rank, vec_id, score) for table(vec_id, embedding)."""
-    vectors, _ = tiles.clean_vectors(table, lambda x: x, zero=False)
+    vectors, dim = tiles.clean_vectors(table, lambda x: x, zero=False)
     n_rows = vectors.count()
     queries, _ = common.write_table(tiles.queries_of(vectors), "queries")
-    blocks = max(1, -(-queries.count() // tiles.QUERY_BLOCK))
+    blocks = max(1, -(-queries.count() // tiles.query_block(dim)))
     asked = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(9), "vec_id"), F.lit(blocks)).cast("int"))
     data = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     return merged(tiles.solve_tiles(asked, data, n_rows, lambda *a: best(*a, k=k), "double"), k)

@@ -1,11 +1,14 @@
 """Query blocks against data chunks: what both vector searches share.
 
-A tile holds at most about QUERY_BLOCK queries and DATA_CHUNK rows. Rows of a tile come together by a shuffle on
-(block, chunk) and are solved one tile at a time; a tile gives the k best of each of its queries.
+A tile holds at most about QUERY_BLOCK queries (fewer where they'd take more than BLOCK_BYTES) and DATA_CHUNK rows. Rows of
+a tile come together by a shuffle on (block, chunk) and are solved one tile at a time; a tile gives the k best of each of
+its queries. Every row is shuffled once for each block, so blocks are as large as memory allows. Rows that are all alike
+fall into one tile; its rows are solved DATA_CHUNK at a time, so it needs no more memory.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -16,11 +19,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-QUERY_BLOCK, DATA_CHUNK = 2048, 8192
+QUERY_BLOCK, DATA_CHUNK, BLOCK_BYTES = 65_536, 8192, 32 << 20
 K = 20
 QUERY_MOD = 20
 
 
+def query_block(dim: int) -> int:
+    return max(1, min(QUERY_BLOCK, BLOCK_BYTES // (8 * dim)))
+
+
 def matrix(batch: pa.RecordBatch, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("v").to_pylist()), "<f8").reshape(-1, dim)
 
@@ -29,7 +36,8 @@ def clean_vectors(table: DataFrame, change: Callable[[np.ndarray], np.ndarray],
     """((vec_id, v as little-endian doubles) of all usable rows, dimension).
 
     Out: null vec_ids, null and empty vectors, those with null or non-finite components and, unless zero, zero
-    vectors; and vectors of another dimension than most usable ones have (ties: the larger).
+    vectors; and vectors of another dimension than most usable ones have (ties: the larger), with a warning that says
+    how many.
     """
 
     def run(batches):
@@ -48,6 +56,9 @@ def clean_vectors(table: DataFrame, change: Callable[[np.ndarray], np.ndarray],
     found, _ = common.write_table(table.select("vec_id", "embedding").mapInArrow(run, "vec_id long, dim int, v binary"), "vectors")
     dims = found.groupBy("dim").count().orderBy(F.desc("count"), F.desc("dim")).first()
     dim = dims["dim"] if dims else 1
+    others = found.where(F.col("dim") != dim).count()
+    if others:
+        warnings.warn(f"{others} vectors that have another dimension than {dim} take no part", stacklevel=2)
     return found.where(F.col("dim") == dim).select("vec_id", "v"), dim
 
 
@@ -70,19 +81,28 @@ def solve_tiles(queries: DataFrame, data: DataFrame, n_rows: int, solve: Callabl
     right = data.select("block", chunk_of(n_rows).alias("chunk"), F.lit(1).alias("side"), "vec_id", "v")
     dealt = left.union(right).repartition("block", "chunk").sortWithinPartitions("block", "chunk", "side", "vec_id")
 
+    most = 2 * DATA_CHUNK
+
     def run(batches):
-        now, held = None, []
+        now, asked, held, n = None, [], [], 0  # of the tile: queries, rows, how many rows
         for batch in batches:
-            block, chunk = (batch.column(c).to_numpy() for c in ("block", "chunk"))
-            cut = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(chunk) != 0)) + 1), batch.num_rows]
+            block, chunk, side = (batch.column(c).to_numpy() for c in ("block", "chunk", "side"))
+            cut = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(chunk) != 0) | (np.diff(side) != 0)) + 1), batch.num_rows]
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 if a == b:
                     continue
                 if (block[a], chunk[a]) != now:
-                    yield from tile(held)
-                    now, held = (block[a], chunk[a]), []
+                    yield from tile(asked + held)
+                    now, asked, held, n = (block[a], chunk[a]), [], [], 0
+                if side[a] == 0:
+                    asked.append(batch.slice(a, b - a))
+                    continue
                 held.append(batch.slice(a, b - a))
-        yield from tile(held)
+                n += b - a
+                if n >= most:
+                    yield from tile(asked + held)
+                    held, n = [], 0
+        yield from tile(asked + held)
 
     def tile(held):
         if not held:
