@@ -1,17 +1,17 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic rows are the positives; the training rows with their labels hidden are the unlabelled text. A linear
-model in numpy minimises pi*E_p[l(g)] + max(0, E_u[l(-g)] - pi*E_p[l(-g)]) with the logistic loss l and class prior
+Confirmed toxic documents of the training folds are the positives; all documents of the training folds, labelled or not
+and with labels hidden, are the unlabelled text. A linear model in numpy minimises pi*E_p[l(g)] + max(0, E_u[l(-g)] - pi*E_p[l(-g)]) with the logistic loss l and class prior
 pi; where the second term falls below zero its gradient is reversed.
 
 Features are words (runs of letters, lower case) and their prefixes of 3 to 6 letters; a feature's value is the number
-of distinct white-space tokens that have it. The model is fitted on at most MAX_POSITIVE and MAX_UNLABELLED labelled
-rows (least hash of doc_id first) and FEATURES features; the prior is counted over all training labels and every whole
-text is scored. The driver gets the chosen features and the sample's feature counts, both bounded by these parameters.
+of distinct white-space tokens that have it. The model is fitted on at most MAX_POSITIVE positives and MAX_UNLABELLED
+unlabelled documents (least hash of doc_id first) and FEATURES features; the class prior is the toxic share of all
+training labels, and every whole text is scored. The driver gets the chosen features and the sample's feature counts, both bounded by these parameters.
 
 Null and empty texts get the score of no features. Rows that repeat a doc_id are scored each. Labels that repeat a
 doc_id count as toxic if one of them is; null labels are unlabelled. Without positives the score is the prior.
-Other columns are ignored, and kept by `with_scores`.
+Other columns are ignored, and kept by `with_scores`, whatever they are named, but for one named as its new one.
 """
 
 from __future__ import annotations
@@ -97,9 +97,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     n, toxic = known.agg(F.count("toxic"), F.sum(F.when(F.col("toxic") == 1, 1))).first()
     prior = min(0.99, max(0.001, (toxic or 0) / n)) if n else 0.01
     if not toxic:
+        common.delete(spark, at)
         return Model({}, math.log(prior / (1 - prior)))
     p = known.where("toxic = 1").orderBy("h", "doc_id").limit(max_positive).select("doc_id", F.lit(1).alias("p"), F.lit(0).alias("u"))
-    u = known.orderBy("h", "doc_id").limit(max_unlabelled).select("doc_id", F.lit(0).alias("p"), F.lit(1).alias("u"))
+    trained = docs.select("doc_id").where(F.col("doc_id").isNotNull() & (common.fold(F.col("doc_id"), FOLDS) != 0))
+    u = trained.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_unlabelled).select("doc_id", F.lit(0).alias("p"), F.lit(1).alias("u"))
     sample = p.union(u).groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u")).toPandas()  # bounded by the two parameters
     sample = spark.createDataFrame(pd.DataFrame({"doc_id": sample.doc_id.astype("int64"), "p": sample.p.astype("int64"), "u": sample.u.astype("int64")}), "doc_id long, p long, u long")
     rows, rows_at = common.write_table(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "sample")
@@ -119,6 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
 
     n_p, n_u = rows.agg(F.sum("p"), F.sum("u")).first()
     if not n_p or not n_u:
+        common.delete(spark, at, rows_at)
         return Model({}, math.log(prior / (1 - prior)))
     both = common.map_arrow(rows, count, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(f"p + u >= {LEAST_DOCS}")
     share = (F.col("p") + F.col("u")) / (n_p + n_u)
@@ -131,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
             for batch in common.slices(batches):
                 out = []
                 for text in batch.column("text").to_pylist():
-                    got = [(place[f], min(c, 255)) for f, c in document_features(text).items() if f in place]
+                    got = [(place[f], c) for f, c in document_features(text).items() if f in place]
                     out.append(np.array(got, np.int32).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("p"), batch.column("u"), pa.array(out, pa.binary())], names=["doc_id", "p", "u", "x"])
 
@@ -161,10 +164,7 @@ def with_scores(docs: DataFrame, model: Model, column: str = "toxicity_score") -
 
         return run
 
-    def run(batches):
-        yield from make()(batches)
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
+    return common.map_whole(docs, make, T.StructField(column, T.DoubleType()))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
