@@ -1,7 +1,8 @@
 """The corpus pipeline: documents through five of the operators, each stage written as Parquet and read again.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
-of documents. Other columns of docs are kept. docs' null texts are empty; see the operators for other odd rows.
+of documents. All columns of docs are kept up to the last stage, whatever they are named. docs' null texts are empty; rows
+with null doc_id are no near duplicates of others; an empty table gives no rows; see the operators for other odd rows.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fathomline.llm import common, mixing, near_dups, secret_scan, sentence_pieces, toxicity
 
@@ -21,7 +23,8 @@ NEAR_PERCENT = 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a classifier, fitted on this stage's own documents and their labels, scores below 0.5."""
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.with_scores(docs, model).where("toxicity_score < 0.5").drop("toxicity_score")
+    (score,) = common.fresh(docs.columns, "toxicity_score")
+    return toxicity.with_scores(docs, model, score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +39,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once; those of smaller sources again, up to MOST_PASSES passes, by temperature."""
-    return mixing.make_schedule(docs, full_pass=True, max_repetition=MOST_PASSES).apply(docs).drop("epoch", "slot")
+    added = common.fresh(docs.columns, "epoch", "slot")
+    return mixing.make_schedule(docs, full_pass=True, max_repetition=MOST_PASSES).apply(docs, *added).drop(*added)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +63,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents."""
-    docs = common.table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs, _ = common.write_table(docs.select(*docs.columns), f"stage-{name}")
-    return docs
+    """All stages on documents. A stage's own tables go when its result is written, and its input goes too."""
+    docs, before = common.table(spark, sf_dir, "documents"), []
+    for name, stage in STAGES[:-1]:
+        path = common.new_path(spark, f"stage-{name}")
+        with common.temporary(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.option("compression", "zstd").parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        common.delete(spark, *before)
+        before = [path]
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,22 +14,43 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text that a Python task holds at a time; a longer text is a batch of its own.
 BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests), a new local one."""
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset and all runs in this process (tests), a new local one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="fathomline-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+_made: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    for paths in _made:
+        paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Tables written in the block are removed at its end: what is lazy must have been written elsewhere by then."""
+    paths: list[str] = []
+    _made.append(paths)
+    try:
+        yield
+    finally:
+        _made[:] = [x for x in _made if x is not paths]
+        delete(spark, *paths)
 
 
 def write_table(df: DataFrame, what: str) -> tuple[DataFrame, str]:
@@ -49,6 +72,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [quoted(c) for c in df.columns]
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores as it takes for none of them to be among those taken."""
+    held = {t.lower() for t in taken}
+    while held & {n.lower() for n in names}:
+        names = tuple(f"_{n}" for n in names)
+    return list(names)
+
+
 def fold(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(mod)
@@ -75,6 +115,19 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataF
     return df.mapInArrow(run, schema)
 
 
+def map_whole(df: DataFrame, make: Callable[[], Callable], *added: T.StructField) -> DataFrame:
+    """map_arrow over all columns, whatever their names, which stay; `added` are put behind them."""
+    names = [*df.columns, *(f.name for f in added)]
+    places = [f"c{k}" for k in range(len(names))]  # dots and quotes in names mean something to Spark
+
+    def run(batches):
+        for out in make()(b.rename_columns(names[: b.num_columns]) for b in batches):
+            yield out.rename_columns(places)
+
+    schema = T.StructType([T.StructField(c, f.dataType, f.nullable) for c, f in zip(places, [*df.schema.fields, *added], strict=True)])
+    return df.toDF(*places[: len(df.columns)]).mapInArrow(run, schema).toDF(*names)
+
+
 def record_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

@@ -541,7 +541,7 @@ def dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     again = not found.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty()
     gone, _ = common.write_table(found.where("not kept").select("doc_id").distinct(), "gone")
     maybe = F.col("doc_id").isNotNull() & common.may_hold(gone, "doc_id")(F.col("doc_id"))
-    out = docs.where(~maybe).union(docs.where(maybe).join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns))  # texts that surely stay aren't shuffled
+    out = docs.where(~maybe).union(docs.where(maybe).join(gone.hint("merge"), "doc_id", "left_anti").select(common.columns(docs)))  # texts that surely stay aren't shuffled
     if again:
         out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
     return out

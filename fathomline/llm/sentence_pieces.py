@@ -7,7 +7,7 @@ reaches a position first stays: shorter last pieces lose to longer ones that beg
 
 No piece holds a marker after another character, so the best path splits before each run of markers, and likewise
 around characters that occur in no piece of several characters (a line end). Each distinct part is encoded once in a
-worker and remembered; new parts of a batch advance together through the trie in numpy. Where a model's pieces do hold
+worker and remembered (those of up to LONG bytes); new parts of a batch advance together through the trie in numpy. Where a model's pieces do hold
 such markers, texts are encoded whole.
 
 A BPE model's scores are merge ranks; they become log probabilities by Zipf's law, -log(rank + 2.7) - log(log(pieces)),
@@ -17,6 +17,7 @@ refused. Null texts are empty and have no ids. A literal U+2581 decodes to a spa
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import struct
@@ -197,9 +198,9 @@ class Unigram:
         out, at = [], n
         while at:
             start, piece = back[at]
-            out[:0] = [piece] if piece >= 0 else self.fallback(data[start:at])
+            out += [piece] if piece >= 0 else self.fallback(data[start:at])[::-1]
             at = start
-        return out
+        return out[::-1]
 
     def paths(self, parts: list[bytes]) -> list[bytes]:
         """Best paths of parts of at most LONG bytes, all at once; ids as little-endian int32."""
@@ -292,6 +293,12 @@ class Unigram:
         return data.decode("utf-8", "replace")
 
 
+@functools.lru_cache(maxsize=1)
+def unigram_of(model: bytes) -> Unigram:
+    """This worker's model, which later tasks find as earlier ones left it."""
+    return Unigram(model)
+
+
 def read_model(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -303,22 +310,26 @@ def encode(docs: DataFrame, model_path: str, check: bool = True) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(read_model(model_path))  # a vocabulary: bounded
     fields = [T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("n_byte_pieces", T.LongType())] + [T.StructField("round_trip", T.BooleanType())] * check
 
-    def run(batches):
-        model = Unigram(shared.value)
+    def make():
+        model = unigram_of(shared.value)
         is_byte = np.array([k == BYTE for k in model.pieces.kind])
-        for batch in common.slices(batches, limit=2 << 20):
-            texts = batch.column("text").to_pylist()
-            ids = model.encode_batch(texts)
-            flat = np.frombuffer(b"".join(ids), "<i4")
-            ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
-            byte = np.concatenate([[0], np.cumsum(is_byte[flat])])
-            batch = batch.append_column("pieces", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
-            batch = batch.append_column("n_byte_pieces", pa.array(byte[ends[1:]] - byte[ends[:-1]]))
-            if check:
-                batch = batch.append_column("round_trip", pa.array([model.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]))
-            yield batch
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+        def run(batches):
+            for batch in common.slices(batches, limit=2 << 20):
+                texts = batch.column("text").to_pylist()
+                ids = model.encode_batch(texts)
+                flat = np.frombuffer(b"".join(ids), "<i4")
+                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
+                byte = np.concatenate([[0], np.cumsum(is_byte[flat])])
+                batch = batch.append_column("pieces", pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
+                batch = batch.append_column("n_byte_pieces", pa.array(byte[ends[1:]] - byte[ends[:-1]]))
+                if check:
+                    batch = batch.append_column("round_trip", pa.array([model.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]))
+                yield batch
+
+        return run
+
+    return common.map_whole(docs, make, *fields)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -326,13 +337,17 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     encoded = encoded.drop("text")
     shared = encoded.sparkSession.sparkContext.broadcast(read_model(model_path))
 
-    def run(batches):
-        model = Unigram(shared.value)
-        for batch in batches:
-            text = [None if x is None else model.decode(np.array(x, "<i4").tobytes()) for x in batch.column("pieces").to_pylist()]
-            yield batch.append_column("text", pa.array(text, pa.string()))
+    def make():
+        model = unigram_of(shared.value)
+
+        def run(batches):
+            for batch in batches:
+                text = [None if x is None else model.decode(np.array(x, "<i4").tobytes()) for x in batch.column("pieces").to_pylist()]
+                yield batch.append_column("text", pa.array(text, pa.string()))
+
+        return run
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())]))
+    return common.map_whole(encoded, make, T.StructField("text", T.StringType()))
 
 
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -343,7 +358,7 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(read_model(path("piece_bpe_32k.model")))
 
     def run(batches):
-        model = Unigram(shared.value)
+        model = unigram_of(shared.value)
         is_byte = np.array([k == BYTE for k in model.pieces.kind])
         for batch in common.slices(batches, limit=2 << 20):
             texts = batch.column("text").to_pylist()
