@@ -86,5 +86,6 @@ class Access:
             raise CommandError(f"{name} may not {what} {event_type}", 403)
 
     def need_admin(self, name: str | None) -> None:
-        if name is not None and "admin" not in self.users.get(name, {"roles": ()})["roles"]:
+        user = self.users.get(name, {"roles": (), "active": False})
+        if name is not None and not (user["active"] and "admin" in user["roles"]):
             raise CommandError(f"{name} is no admin", 403)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass
 from typing import Any, Union
 
 GRANULARITIES = ("hour", "day", "week", "month", "year")
@@ -182,3 +182,16 @@ class Revoke:
 @dataclass(frozen=True)
 class ShowPermissions:
     user: str
+
+
+def to_json(x: Any) -> Any:
+    """A command as JSON values; from_json gives it back."""
+    if is_dataclass(x):
+        return {"_": type(x).__name__, **{f.name: to_json(getattr(x, f.name)) for f in fields(x)}}
+    return [to_json(v) for v in x] if isinstance(x, (tuple, list)) else x
+
+
+def from_json(x: Any) -> Any:
+    if isinstance(x, dict) and "_" in x:
+        return globals()[x["_"]](**{k: from_json(v) for k, v in x.items() if k != "_"})
+    return tuple(map(from_json, x)) if isinstance(x, list) else x

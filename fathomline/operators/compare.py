@@ -24,7 +24,7 @@ def prefixes(sides: tuple[Query, ...]) -> list[str]:
     """The event types; the places' names for those that repeat an earlier one (the first keeps its name)."""
     out: list[str] = []
     for k, s in enumerate(sides):
-        place = PREFIXES[k] if k < len(PREFIXES) else f"side{k + 1}"
+        place = PREFIXES[k] if k < len(PREFIXES) else f"side_{k + 1}"
         out.append(s.event_type if s.event_type not in out else place)
     return out
 

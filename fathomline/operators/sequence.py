@@ -11,8 +11,9 @@ of one row for each link and slice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..ast import Query
 from ..errors import CommandError
@@ -82,19 +83,25 @@ def pairs(a_frame: DataFrame, a: EventSchema, b_frame: DataFrame, b: EventSchema
 
 
 def events(matches: DataFrame, followed: bool) -> DataFrame:
-    """Two rows for each match, in the order of time: core columns, match (its A's event_id), then both types' fields."""
-
-    def rows(side: str, place: int) -> DataFrame:
-        return matches.select(F.col("a.event_id").alias("match"), F.lit(place).alias("place"), f"{side}.*")
-
-    out = rows("a", 0 if followed else 1)
-    other = rows("b", 1 if followed else 0)
-    types, others = dict(out.dtypes), dict(other.dtypes)
-    mixed = [c for c in types if c in others and types[c] != others[c]]
-    for c in mixed:
-        out, other = out.withColumn(c, F.col(f"`{c}`").cast("string")), other.withColumn(c, F.col(f"`{c}`").cast("string"))
-    out = out.unionByName(other, allowMissingColumns=True)
-    return out.select(*CORE, "match", "place", *(f"`{c}`" for c in out.columns if c not in (*CORE, "match", "place")))
+    """Two rows for each match, in the order of time: core columns, match (its A's event_id), then both types' fields.
+
+    Both come from one row by explode, so that the matches are found once.
+    """
+    sides = {s: {f.name: f.dataType for f in matches.schema[s].dataType} for s in ("a", "b")}
+    names = [*CORE, *(c for c in dict.fromkeys([*sides["a"], *sides["b"]]) if c not in CORE)]
+    kinds = {}
+    for c in names:
+        found = [sides[s][c] for s in ("a", "b") if c in sides[s]]
+        kinds[c] = found[0] if all(k == found[0] for k in found) else T.StringType()
+
+    def row(side: str, place: int) -> Column:
+        value = lambda c: F.col(side).getField(c) if c in sides[side] else F.lit(None)
+        return F.struct(*(value(c).cast(kinds[c]).alias(c) for c in names), F.lit(place).alias("_place"))
+
+    both = F.explode(F.array(row("a", 0 if followed else 1), row("b", 1 if followed else 0)))
+    out = matches.select(F.col("a.event_id").alias("match"), both.alias("e"))
+    field = lambda c: F.col("e").getField(c).alias(c)
+    return out.select(*map(field, CORE), "match", F.col("e._place").alias("place"), *(field(c) for c in names if c not in CORE))
 
 
 def sequence(a_frame: DataFrame, a: EventSchema, b_frame: DataFrame, b: EventSchema, q: Query, compat: bool = False, slice_seconds: int | None = None) -> DataFrame:

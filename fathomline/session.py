@@ -19,12 +19,12 @@ from .sources.catalog import EventLog
 
 
 class Engine:
-    """Events, schemas, users and remembered results under one folder. `user` (None: no check) is who gives a command. slice_seconds: see operators.sequence."""
+    """Events, schemas, users and remembered results under one folder. `user` (None: no check) is who gives a command. slice_seconds: see operators.sequence; distinct: see Catalog."""
 
-    def __init__(self, spark: SparkSession, root: str, options: BucketOptions = BucketOptions(), compat: bool = False, slice_seconds: int | None = None):
-        self.log = EventLog(spark, root)
+    def __init__(self, spark: SparkSession, root: str, options: BucketOptions = BucketOptions(), compat: bool = False, slice_seconds: int | None = None, distinct: bool = False):
+        self.log = EventLog(spark, root, distinct=distinct)
         self.access = Access(self.log.store_files)
-        self.materialized = Materializations(self.log, self.log.store_files)
+        self.materialized = Materializations(self.log, self.log.store_files, options, compat, slice_seconds)
         self.options, self.compat, self.slice_seconds = options, compat, slice_seconds
 
     def execute(self, command: str | dict | Any, user: str | None = None) -> DataFrame | list | str:
@@ -44,11 +44,11 @@ class Engine:
         if isinstance(c, ast.Remember):
             self.read(user, c.query)
             self.log.flush()
-            said = re.sub(r"^\s*REMEMBER\s+|\s+AS\s+[\w-]+\s*$", "", text, flags=re.I) if text else repr(c.query)
+            said = re.sub(r"^\s*REMEMBER\s+|\s+AS\s+[\w-]+\s*$", "", text, flags=re.I) if text else type(c.query).__name__
             entry = self.materialized.remember(c.name, c.query, said)
             return f"{c.name}: {sum(p['rows'] for p in entry['parts'])} rows"
         if isinstance(c, ast.Show):
-            q = parse(self.materialized._entry(c.name)["query"])
+            q = ast.from_json(self.materialized._entry(c.name)["ast"])
             self.read(user, q)
             self.log.flush()
             return self.materialized.show(c.name, q)

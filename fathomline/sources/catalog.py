@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
+import json
 import time
 from collections.abc import Callable
 from typing import Any
@@ -19,10 +19,13 @@ ID_EPOCH_MS, SHARD_BITS, SEQUENCE_BITS = 1_609_459_200_000, 10, 12
 
 
 class Catalog:
-    """Event types with a schema and a frame of the core columns and the payload's."""
+    """Event types with a schema and a frame of the core columns and the payload's.
 
-    def __init__(self, spark: SparkSession, registry: SchemaRegistry | None = None):
-        self.spark, self.registry = spark, registry or SchemaRegistry()
+    distinct: events that come twice (one event_id) are taken once by all that reads, at the price of a shuffle.
+    """
+
+    def __init__(self, spark: SparkSession, registry: SchemaRegistry | None = None, distinct: bool = False):
+        self.spark, self.registry, self.distinct = spark, registry or SchemaRegistry(), distinct
         self.frames: dict[str, DataFrame | Callable[[], DataFrame]] = {}
 
     def register(self, event_type: str, frame: DataFrame | Callable[[], DataFrame], fields: dict[str, Any]) -> EventSchema:
@@ -39,7 +42,10 @@ class Catalog:
         if frame.schema != struct:
             frame = frame.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in struct))
         self.frames[event_type] = frame
-        return frame
+        return self.once(frame)
+
+    def once(self, frame: DataFrame) -> DataFrame:
+        return distinct_events(frame) if self.distinct else frame
 
     def schema(self, event_type: str) -> EventSchema:
         return self.registry.get(event_type)
@@ -67,13 +73,28 @@ class Catalog:
 
 
 class EventLog(Catalog):
-    """A catalog on files: one folder of Parquet a type. Stored events are held until flush() and are seen by queries at once."""
+    """A catalog on files: one folder of Parquet a type. Stored events are held until flush() and are seen by queries at once.
 
-    def __init__(self, spark: SparkSession, root: str, flush_after: int = 10_000, shard: int = 0):
+    Each held event is a file of its own under wal/ first (unless durable is False), and a log that is opened again holds
+    these events again. flush() writes to a folder named by the first event held, so that one that is repeated after a
+    crash writes the same events once.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, flush_after: int = 10_000, shard: int = 0, distinct: bool = False, durable: bool = True):
         self.store_files = Store(spark, root)
-        super().__init__(spark, SchemaRegistry(self.store_files))
-        self.flush_after, self.shard, self.pending, self.last_id = flush_after, shard, {}, -1
-        self.counter = itertools.count()
+        super().__init__(spark, SchemaRegistry(self.store_files), distinct)
+        self.flush_after, self.shard, self.durable, self.pending, self.last_id = flush_after, shard, durable, {}, -1
+        if durable:
+            self.recover()
+
+    def recover(self) -> None:
+        """Holds again what was stored and not flushed when an earlier log on this folder ended."""
+        for event_type in self.store_files.names("wal"):
+            names = [f.name for f in self.schema(event_type).struct()]
+            for event_id in sorted(map(int, (n for n in self.store_files.names(f"wal/{event_type}") if n.isdigit()))):
+                values = json.loads(self.store_files.read(f"wal/{event_type}/{event_id}"))
+                self.pending.setdefault(event_type, []).append(tuple(values[n] for n in names))
+                self.last_id = max(self.last_id, event_id)
 
     def folder(self, event_type: str) -> str:
         return self.store_files.path(f"events/{event_type}")
@@ -96,7 +117,10 @@ class EventLog(Catalog):
         values = schema.checked(payload)
         event_id = self.next_id()
         core = {"context_id": context_id, "event_type": event_type, "timestamp": int(time.time()) if now is None else now, "event_id": event_id}
-        self.pending.setdefault(event_type, []).append(tuple({**values, **core}[f.name] for f in schema.struct()))
+        row = {f.name: {**values, **core}[f.name] for f in schema.struct()}
+        if self.durable:
+            self.store_files.write(f"wal/{event_type}/{event_id}", json.dumps(row))
+        self.pending.setdefault(event_type, []).append(tuple(row.values()))
         if sum(map(len, self.pending.values())) >= self.flush_after:
             self.flush()
         return event_id
@@ -105,39 +129,53 @@ class EventLog(Catalog):
         """Writes what is held: a file of its own for each type, in order of time. Returns how many events."""
         n = 0
         for event_type, rows in list(self.pending.items()):
-            frame = self.spark.createDataFrame(rows, self.schema(event_type).struct())
-            self.write(event_type, frame)
+            struct = self.schema(event_type).struct()
+            place = struct.names.index("event_id")
+            self.write(event_type, self.spark.createDataFrame(rows, struct), f"flush-{rows[0][place]}")
             n += len(rows)
             del self.pending[event_type]
+            if self.durable:
+                self.store_files.delete(f"wal/{event_type}")
         return n
 
-    def write(self, event_type: str, frame: DataFrame) -> None:
-        """Appends a frame of events: bulk ingest, and micro-batches of a stream."""
-        frame.sortWithinPartitions("timestamp", "event_id").write.mode("append").option("parquet.bloom.filter.enabled#context_id", "true").parquet(self.folder(event_type))
+    def write(self, event_type: str, frame: DataFrame, part: str | None = None) -> None:
+        """Adds a frame of events: bulk ingest, and micro-batches of a stream. A part that is written again takes its own place."""
+        out = frame.sortWithinPartitions("timestamp", "event_id").write.option("parquet.bloom.filter.enabled#context_id", "true")
+        if part:
+            out.mode("overwrite").parquet(f"{self.folder(event_type)}/{part}")
+        else:
+            out.mode("append").parquet(self.folder(event_type))
+
+    def read(self, event_type: str) -> DataFrame | None:
+        """What is written, in whatever folders below the type's."""
+        name = f"events/{event_type}"
+        if not self.store_files.exists(name):
+            if not self.store_files.exists(f"{name}.new/_SUCCESS"):
+                return None
+            self.store_files.rename(f"{name}.new", name)  # a compaction ended before its last step
+        return self.spark.read.schema(self.schema(event_type).struct()).option("recursiveFileLookup", "true").parquet(self.folder(event_type))
 
     def frame(self, event_type: str) -> DataFrame:
         struct = self.schema(event_type).struct()
         if event_type in self.frames:
             out = self.registered(event_type)
-        elif self.store_files.exists(f"events/{event_type}"):
-            out = self.spark.read.schema(struct).parquet(self.folder(event_type))
         else:
-            out = None
+            out = self.read(event_type)
         held = self.pending.get(event_type)
         if held or out is None:
             rows = self.spark.createDataFrame(held or [], struct)
             out = rows if out is None else out.unionByName(rows)
-        return out
+        return self.once(out)
 
     def compact(self, event_type: str, files: int) -> None:
-        """Rewrites a type's files into `files`, by ranges of time; the new folder takes the old one's place."""
-        fs, jvm = self.store_files.fs, self.spark._jvm
-        new, old = self.folder(event_type) + ".new", self.folder(event_type)
-        struct = self.schema(event_type).struct()
-        self.spark.read.schema(struct).parquet(old).repartitionByRange(files, "timestamp", "event_id").sortWithinPartitions("timestamp", "event_id").write.mode("overwrite").parquet(new)
-        path = jvm.org.apache.hadoop.fs.Path
-        fs.delete(path(old), True)
-        fs.rename(path(new), path(old))
+        """Rewrites a type's files into `files`, by ranges of time; the new folder takes the old one's place (read() ends that where a crash came between)."""
+        rows = self.read(event_type)
+        if rows is None:
+            return
+        name = f"events/{event_type}"
+        rows.repartitionByRange(files, "timestamp", "event_id").sortWithinPartitions("timestamp", "event_id").write.mode("overwrite").option("parquet.bloom.filter.enabled#context_id", "true").parquet(self.folder(event_type) + ".new")
+        self.store_files.delete(name)
+        self.store_files.rename(f"{name}.new", name)
 
     def snapshot(self, event_types: list[str], path: str) -> None:
         """The events of some types as JSON lines."""

@@ -20,9 +20,15 @@ class Store:
     def exists(self, name: str) -> bool:
         return self.fs.exists(self._path(name))
 
+    def names(self, folder: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(folder))) if self.exists(folder) else []
+
     def read(self, name: str) -> str | None:
+        """None if there is none. A writer that died between removing the old and naming the new file left a whole new one."""
         if not self.exists(name):
-            return None
+            if not self.exists(f"{name}.new"):
+                return None
+            name = f"{name}.new"
         stream = self.fs.open(self._path(name))
         try:
             return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
@@ -43,5 +49,9 @@ class Store:
         if not self.fs.rename(new, old):
             raise OSError(f"{name} could not be replaced")
 
+    def rename(self, old: str, new: str) -> None:
+        if not self.fs.rename(self._path(old), self._path(new)):
+            raise OSError(f"{old} could not become {new}")
+
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import json
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.times import normalized
 from ..schema import TIMES, EventSchema
 from ..sources.catalog import EventLog
+from ..storage import Store
 
 
 def checked(lines: DataFrame, schema: EventSchema) -> DataFrame:
@@ -38,25 +43,33 @@ def checked(lines: DataFrame, schema: EventSchema) -> DataFrame:
 def ingest(lines: DataFrame, log: EventLog, event_type: str, checkpoint: str, rejected: str | None = None, after: Callable[[], None] | None = None, **trigger) -> StreamingQuery:
     """Starts the stream. Of each micro-batch the valid lines go to the log, the others as JSON to the folder `rejected`; then `after` runs.
 
-    Event ids are the batch's number and the row's place, so a batch that is run again after a failure gives the same ids.
+    Event ids follow those that the log has given, so marks of remembered results hold for both; the first of a batch is
+    written down, and a batch that is run again after a failure gives the same ids to folders named by its number.
     """
     schema = log.schema(event_type)
     struct = schema.struct()
+    stream = hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
+    notes = Store(log.spark, checkpoint)
 
     def batch(rows: DataFrame, number: int) -> None:
+        known = json.loads(notes.read(f"first-ids/{number}") or "null")
+        if known is None:
+            known = [log.next_id(), int(time.time())]
+            notes.write(f"first-ids/{number}", json.dumps(known))
+        first, now = known
         place = F.monotonically_increasing_id()
-        out = checked(rows, schema).withColumn("event_type", F.lit(event_type)).withColumn("timestamp", F.unix_seconds(F.current_timestamp()))
-        out = out.withColumn("event_id", (F.lit(number).cast("long") * F.lit(1 << 44) + place)).persist()
+        out = checked(rows, schema).withColumn("event_type", F.lit(event_type)).withColumn("timestamp", F.lit(now).cast("long")).withColumn("_place", place).persist()
         try:
-            good = out.where("valid").select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in struct))
-            folder = f"{log.folder(event_type)}"
-            done = f"{checkpoint}/done/{number}"
-            path = log.spark._jvm.org.apache.hadoop.fs.Path(done)
-            if not path.getFileSystem(log.spark._jsc.hadoopConfiguration()).exists(path):
-                good.sortWithinPartitions("timestamp", "event_id").write.mode("append").parquet(folder)
-                path.getFileSystem(log.spark._jsc.hadoopConfiguration()).create(path, True).close()
-                if rejected:
-                    out.where("not valid").drop("valid").write.mode("append").json(rejected)
+            part = F.shiftright("_place", 33)
+            sizes = sorted((r["part"], r["n"]) for r in out.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each partition
+            starts = dict(zip((p for p, _ in sizes), itertools.accumulate((n for _, n in sizes), initial=first), strict=False))
+            log.last_id = max(log.last_id, first + sum(n for _, n in sizes))
+            start = F.create_map(*(F.lit(x).cast("long") for pair in starts.items() for x in pair))[part] if starts else F.lit(first)
+            numbered = out.withColumn("event_id", start + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))).drop("_place")
+            good = numbered.where("valid").select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in struct))
+            log.write(event_type, good, f"stream-{stream}-{number}")
+            if rejected:
+                numbered.where("not valid").drop("valid").write.mode("overwrite").json(f"{rejected}/stream={stream}/batch={number}")
         finally:
             out.unpersist()
         if after:
