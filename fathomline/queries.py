@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import stored_queries
 from .operators.aggregate import BucketOptions
 from .parser import parse
 from .plans.planner import plan
@@ -82,36 +83,51 @@ TEXT: dict[str, tuple[str, str]] = {
 }
 
 
-def _nearest(a: str, b: str, key: str, followed: bool, where_a: str = "true", where_b: str = "true", gate: str = "true") -> str:
-    """All matches as two rows each, by SQL windows."""
-    order = "timestamp DESC, is_b DESC, event_id DESC" if followed else "timestamp, is_b, event_id"
+def _nearest(a: str, b: str, key: str, followed: bool, where_a: str = "true", where_b: str = "true", gate: str = "true", at: str = "timestamp", payload: tuple[tuple[str, str, str], ...] = ()) -> str:
+    """All matches, by SQL windows. payload: columns besides, each with its expression in a and in b."""
+    order = f"{at} DESC, is_b DESC, event_id DESC" if followed else f"{at}, is_b, event_id"
+    more_a, more_b, more = ("".join(f", {x[k]}" if k == 0 else f", {x[k]} AS {x[0]}" for x in payload) for k in (1, 2, 0))
+    held = "".join(f", '{x[0]}': {x[0]}" for x in payload)
     return f"""WITH u AS (
-      SELECT {key} AS link, timestamp, 0 AS is_b, event_id, context_id, event_type FROM {a} WHERE {where_a}
-      UNION ALL SELECT {key}, timestamp, 1, event_id, context_id, event_type FROM {b} WHERE {where_b}
+      SELECT {key} AS link, timestamp, 0 AS is_b, event_id, context_id, event_type{more_a} FROM {a} WHERE {where_a}
+      UNION ALL SELECT {key}, timestamp, 1, event_id, context_id, event_type{more_b} FROM {b} WHERE {where_b}
     ), w AS (
-      SELECT *, last_value(CASE WHEN is_b = 1 THEN {{'timestamp': timestamp, 'event_id': event_id, 'context_id': context_id, 'event_type': event_type}} END IGNORE NULLS)
+      SELECT *, last_value(CASE WHEN is_b = 1 THEN {{'timestamp': timestamp, 'event_id': event_id, 'context_id': context_id, 'event_type': event_type{held}}} END IGNORE NULLS)
         OVER (PARTITION BY link ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS near,
         min(CASE WHEN is_b = 1 THEN timestamp END) OVER (PARTITION BY link) AS first_b, min(CASE WHEN is_b = 0 THEN timestamp END) OVER (PARTITION BY link) AS first_a,
         min(timestamp) OVER (PARTITION BY link) AS first_ts FROM u
     ), m AS (SELECT * FROM w WHERE is_b = 0 AND near IS NOT NULL AND {gate})"""
 
 
-def _events(followed: bool, source: str = "m") -> str:
+def _events(followed: bool, source: str = "m", payload: tuple[tuple[str, str, str], ...] = ()) -> str:
+    """Two rows for each match."""
     a, b = (0, 1) if followed else (1, 0)
-    return f"""SELECT context_id, event_type, timestamp, event_id, event_id AS match, {a} AS place FROM {source}
-    UNION ALL SELECT near.context_id, near.event_type, near.timestamp, near.event_id, event_id, {b} FROM {source}"""
+    mine, other = ("".join(f", {side}{x[0]}" for x in payload) for side in ("", "near."))
+    return f"""SELECT context_id, event_type, timestamp, event_id, event_id AS match, {a} AS place{mine} FROM {source}
+    UNION ALL SELECT near.context_id, near.event_type, near.timestamp, near.event_id, event_id, {b}{other} FROM {source}"""
 
 
 def _sequence(command: str, a: str, b: str, key: str, followed: bool, **more: str) -> tuple[str, str]:
     return f"{command} RETURN [event_id]", f"{_nearest(a, b, key, followed, **more)} {_events(followed)}"
 
 
+def _whole_sequence(command: str, a: str, b: str, key: str, followed: bool, payload: tuple[tuple[str, str, str], ...], **more: str) -> tuple[str, str]:
+    return command, f"{_nearest(a, b, key, followed, payload=payload, **more)} {_events(followed, payload=payload)}"
+
+
+CLICK = tuple((c, c, c) for c in ("user_id", "value", "k", "even"))
+ORDER_ITEM = (("order_key",) * 3, ("status", "status", "NULL"), ("total", "total", "NULL"), ("line", "NULL", "line"))
+
 TEXT |= {
     "seq_followed": _sequence("QUERY view FOLLOWED BY purchase LINKED BY user_id", ev("view"), ev("purchase"), "user_id", True),
     "seq_followed_where_a": _sequence("QUERY view FOLLOWED BY purchase LINKED BY user_id WHERE view.k > 50", ev("view"), ev("purchase"), "user_id", True, where_a="k > 50"),
     "seq_followed_where_both": _sequence("QUERY view FOLLOWED BY purchase LINKED BY user_id WHERE view.k > 50 AND purchase.value > 20", ev("view"), ev("purchase"), "user_id", True, where_a="k > 50", where_b="value > 20"),
     "seq_followed_wide": _sequence("QUERY order_placed FOLLOWED BY item_shipped LINKED BY order_key USING TIME timestamp", ORDERS, ITEMS, "order_key", True),
     "seq_preceded": _sequence("QUERY purchase PRECEDED BY view LINKED BY user_id", ev("purchase"), ev("view"), "user_id", False),
+    "seq_followed_payload": _whole_sequence("QUERY view FOLLOWED BY purchase LINKED BY user_id", ev("view"), ev("purchase"), "user_id", True, CLICK),
+    "seq_preceded_payload": _whole_sequence("QUERY purchase PRECEDED BY view LINKED BY user_id WHERE view.k > 20", ev("purchase"), ev("view"), "user_id", False, CLICK, where_b="k > 20"),
+    "seq_payload_of_one_type": _whole_sequence("QUERY order_placed FOLLOWED BY item_shipped LINKED BY order_key RETURN [order_key, status, total, line]", ORDERS, ITEMS, "order_key", True, ORDER_ITEM),
+    "seq_using_time": _sequence("QUERY view FOLLOWED BY purchase LINKED BY user_id USING TIME k", ev("view"), ev("purchase"), "user_id", True, at="k", payload=(("k", "k", "k"),)),
     "seq_preceded_compat": _sequence("QUERY purchase PRECEDED BY view LINKED BY user_id", ev("purchase"), ev("view"), "user_id", False, gate="first_b < first_a"),
     "seq_limit": (
         "QUERY view FOLLOWED BY purchase LINKED BY user_id LIMIT 40 OFFSET 5 RETURN [event_id]",
@@ -140,28 +156,6 @@ def distinct_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_events(frame.unionByName(frame))
 
 
-def show_after_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A remembered selection of the first half of January, shown after all events have come."""
-    import tempfile
-
-    from .operators.materialize import Materializations
-    from .storage import Store
-
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fathomline-")) + "/shown"
-    store = Store(spark, root)
-    store.delete("materialized.json")
-    store.delete("materialized")
-    catalog = star_catalog(spark, sf_dir)
-    whole = catalog.frame("purchase")
-    catalog.frames["purchase"] = whole.where("timestamp < 1705276800")
-    q = parse("QUERY purchase WHERE value > 20")
-    held = Materializations(catalog, store)
-    held.remember("dear", q, "QUERY purchase WHERE value > 20")
-    catalog.frames["purchase"] = whole
-    held.show("dear", q)
-    return held.show("dear", q)
-
-
 def json_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query given as a JSON object."""
     from .json_commands import command_of
@@ -180,11 +174,11 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "per_week_sunday": (functools.partial(run_text, command="QUERY view COUNT PER WEEK", options=BucketOptions(week_start="sun")), f"SELECT CAST(epoch(date_trunc('day', make_timestamp(timestamp * 1000000)) - to_days(CAST(dayofweek(make_timestamp(timestamp * 1000000)) AS INTEGER))) AS BIGINT) AS bucket, count(*) AS count FROM {ev('view')} GROUP BY 1"),
     "wildcard_scan": (wildcard_scan, "SELECT event_type, count(*) AS n, min(timestamp) AS first, max(timestamp) AS last FROM (" + " UNION ALL ".join([f"SELECT event_type, timestamp FROM {ev(k)}" for k in ("click", "error", "purchase", "signup", "view")] + [f"SELECT event_type, timestamp FROM {ORDERS}", f"SELECT event_type, timestamp FROM {ITEMS}"]) + ") GROUP BY 1"),
     "distinct_by_id": (distinct_by_id, f"SELECT {ALL} FROM {ev('view')}"),
-    "show_after_delta": (show_after_delta, f"SELECT {ALL} FROM {ev('purchase')} WHERE value > 20"),
+    "show_after_delta": (functools.partial(stored_queries.shown, command="QUERY purchase WHERE value > 20", event_type="purchase", first="timestamp < 1705276800"), f"SELECT {ALL} FROM {ev('purchase')} WHERE value > 20"),
     "seq_followed_sliced": (functools.partial(run_text, command=TEXT["seq_followed"][0], slice_seconds=86_400), TEXT["seq_followed"][1]),
     "seq_preceded_sliced": (functools.partial(run_text, command=TEXT["seq_preceded"][0], slice_seconds=20_000), TEXT["seq_preceded"][1]),
     "json_query": (json_query, f"SELECT {ALL} FROM {ev('purchase')} WHERE k >= 10 AND NOT user_id IN (1, 2, 3) ORDER BY event_id DESC LIMIT 30"),
-}
+} | stored_queries.queries(ev, ORDERS, ITEMS, CORE, ALL)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: functools.partial(run_text, command=command, compat=name.endswith("_compat")) for name, (command, _) in TEXT.items()} | {name: f for name, (f, _) in OTHERS.items()}
 SQL: dict[str, str] = {name: sql for name, (_, sql) in TEXT.items()} | {name: sql for name, (_, sql) in OTHERS.items()}
