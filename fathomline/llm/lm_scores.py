@@ -345,7 +345,7 @@ def frequent_words(counts: DataFrame, most: int | None = None) -> pd.DataFrame:
         found = pd.concat([found, counts.where((step == last) & (F.col("n") > level)).toPandas()])
         share = (2.0 * left + 1000) / ties.count()
         while left:
-            upto = -(1 << 63) + int(min(1.0, share) * ((1 << 64) - 1))
+            upto = min((1 << 63) - 1, int(min(1.0, share) * (1 << 64)) - (1 << 63))
             part = ties.where(F.col("h") <= upto).toPandas()
             if len(part) >= left:
                 found = pd.concat([found, part.sort_values("h").iloc[:left]])

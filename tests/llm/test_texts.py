@@ -245,3 +245,42 @@ def test_redact_masks_private_keys_whole(spark):
 
     long = secret_scan.Scanner().scan(pa.array([f"{begin}\n{body}\n" * 20_000, begin + "-" * 500_000 + "x\n" * 500_000]))
     assert [len([s for s in spans if s["kind"] == "pem"]) for spans in long] == [20_000, 1]
+
+
+@pytest.mark.parametrize("most", [1, 5, 40, 137, 1200, 5000])
+def test_frequent_words_are_the_first_by_count_then_hash(spark, most):
+    rng = np.random.default_rng(3)
+    rows = [(int(h), 1, int(n)) for h, n in zip(rng.integers(-(1 << 63), 1 << 63, 3000), 1 + rng.geometric(0.3, 3000) * (rng.random(3000) < 0.4))]
+    got = lm_scores.frequent_words(spark.createDataFrame(rows, "h long, class int, n long"), most)
+    assert list(zip(got["h"], got["n"])) == [(h, n) for h, _, n in sorted(rows, key=lambda r: (-r[2], r[0]))[:most]]
+
+
+def test_pieces_change_no_count(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = lm_scores.Hmm.begun(np.arange(1.0, 8.0), states=3)
+    seqs = [rng.integers(0, 7, n).astype(np.uint16) for n in (1, 2, 5, 300, 40, 64, 65, 33, 32)]
+    found = []
+    for piece in (10_000, 64, 32, 7, 1):
+        monkeypatch.setattr(lm_scores, "PIECE", piece)
+        counts = [np.zeros(3), np.zeros(3), np.zeros((3, 3)), np.zeros((7, 3))]
+        model.expected(seqs, counts)
+        found.append(counts)
+    for counts in found[1:]:
+        for k in (0, 2, 3):
+            assert counts[k] == pytest.approx(found[0][k], rel=1e-9)
+
+
+def test_full_passes_by_bisection():
+    tokens = np.array([1e6, 1e4, 5e4, 2e5])
+    exponent, w, budget = mixing.full_pass_weights(tokens, 3.0)
+    passes = w * budget / tokens
+    assert passes.min() == pytest.approx(1) and passes.max() == pytest.approx(3, rel=1e-6) and 0 < exponent < 1
+    assert exponent == pytest.approx(1 - math.log(3) / math.log(100), rel=1e-6)
+    assert mixing.full_pass_weights(tokens, 1000.0)[0] == 0.0 and mixing.full_pass_weights(tokens[:1], 1.5)[2] == 1e6
+
+
+def test_a_share_of_the_way_to_even_weights_binds():
+    tokens = np.array([1e6, 9e5, 1.1e6])
+    exponent, w = mixing.find_weights(tokens, tokens.sum(), flatten=0.5)
+    own = mixing.entropy(tokens / tokens.sum())
+    assert exponent < 1 and mixing.entropy(w) == pytest.approx((own + math.log(3)) / 2)
