@@ -32,7 +32,7 @@ from . import common
 
 STATES, SYMBOLS, CLASSES, ITERATIONS = 8, 4096, 512, 4
 FREQUENT = 200_000
-PIECE, LONG, SEGMENT = 1024, 16_384, 256
+PIECE, LONG, SEGMENT = 512, 16_384, 256
 END = SYMBOLS + CLASSES
 FOLDS = 10
 ADD = 0.1
@@ -162,10 +162,14 @@ class Hmm:
     def transfers(self, text: np.ndarray, live: np.ndarray) -> np.ndarray:
         """Of each column's symbols (live: how many columns still have one) the product of move and emission, up to a factor."""
         k = len(self.start)
+        emit = self.emit / self.emit.max(1, keepdims=True)  # so that products stay near 1, and need a look at times only
         out = np.tile(np.eye(k), (text.shape[1], 1, 1))
         for t, m in enumerate(live.tolist()):
-            x = (out[:m].reshape(m * k, k) @ self.move).reshape(m, k, k) * self.emit[text[t, :m]][:, None, :]
-            out[:m] = x / x.max((1, 2), keepdims=True)
+            x = np.matmul(out[:m].reshape(m * k, k), self.move).reshape(m, k, k)
+            x *= emit[text[t, :m]][:, None, :]
+            if t % 16 == 15:
+                x /= x.max((1, 2), keepdims=True)
+            out[:m] = x
         return out
 
     def expected(self, syms: list[np.ndarray], counts: list[np.ndarray]) -> None:
@@ -306,7 +310,7 @@ def iterate(rows: DataFrame, model: Hmm) -> Hmm:
 
     def run(batches):
         counts = [np.zeros(states), np.zeros(states), np.zeros((states, states)), np.zeros((n, states))]
-        for batch in common.slices(batches, "syms", 1 << 19):
+        for batch in common.slices(batches, "syms", 1 << 20):
             shared.value.expected(_syms(batch), counts)
         whole = np.concatenate([counts[3], counts[0][None], counts[1][None], counts[2]])
         used = np.flatnonzero(whole.any(1))
