@@ -63,15 +63,17 @@ def retained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations by STORE, half of them flushed, read by an engine that was started anew."""
+    """Orders added up by priority and status, each group an event by STORE, some of them flushed, read by an engine that was started anew."""
     engine = Engine(spark, new_root(spark))
-    engine.execute('DEFINE nation_seen FIELDS {key: "int", name: "string", region: "int"}')
-    for r in sorted(spark.read.parquet(f"{sf_dir}/nation.parquet").collect()):  # 25 rows
-        engine.execute(ast.Store("nation_seen", str(r["n_nationkey"]), {"key": r["n_nationkey"], "name": r["n_name"], "region": r["n_regionkey"]}))
-        if r["n_nationkey"] == 12:
+    engine.execute('DEFINE group_seen FIELDS {status: "string", orders: "int", greatest: "float"}')
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    groups = orders.groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("greatest"))
+    for k, r in enumerate(sorted(groups.collect())):  # a row for each priority and status
+        engine.execute(ast.Store("group_seen", r["o_orderpriority"], {"status": r["o_orderstatus"], "orders": r["n"], "greatest": r["greatest"]}))
+        if k == 6:
             engine.execute("FLUSH")
     again = Engine(spark, engine.log.store_files.root)
-    return again.execute("QUERY nation_seen").drop("timestamp", "event_id")
+    return again.execute("QUERY group_seen").drop("timestamp", "event_id")
 
 
 def _purchases(spark: SparkSession, sf_dir: str) -> tuple[Engine, DataFrame]:
@@ -102,22 +104,22 @@ def restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers from two streams of JSON lines; a selection remembered between them and shown twice after both."""
+    """Orders from two streams of JSON lines; a selection remembered between them and shown twice after both."""
     from .streaming.ingest import ingest
 
     engine = Engine(spark, new_root(spark))
-    engine.execute('DEFINE customer_seen FIELDS {customer: "int", balance: "float", segment: "string"}')
+    engine.execute('DEFINE order_seen FIELDS {order_key: "int", total: "float", priority: "string"}')
     root = engine.log.store_files.root
-    source = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    payload = F.struct(F.col("c_custkey").alias("customer"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
-    lines = source.select((F.col("c_custkey") % 2).alias("half"), F.to_json(F.struct(F.col("c_custkey").cast("string").alias("context_id"), payload.alias("payload"))).alias("value"))
+    source = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    payload = F.struct(F.col("o_orderkey").alias("order_key"), F.col("o_totalprice").alias("total"), F.col("o_orderpriority").alias("priority"))
+    lines = source.select((F.col("o_orderkey") % 2).alias("half"), F.to_json(F.struct(F.col("o_custkey").cast("string").alias("context_id"), payload.alias("payload"))).alias("value"))
     for half in (0, 1):
         lines.where(F.col("half") == half).select("value").write.text(f"{root}/lines/{half}")
-        ingest(spark.readStream.text(f"{root}/lines/{half}"), engine.log, "customer_seen", f"{root}/checks/{half}").awaitTermination()
+        ingest(spark.readStream.text(f"{root}/lines/{half}"), engine.log, "order_seen", f"{root}/checks/{half}").awaitTermination()
         if half == 0:
-            engine.execute("REMEMBER QUERY customer_seen WHERE balance > 0 AS solvent")
-    engine.execute("SHOW solvent")
-    return engine.execute("SHOW solvent").drop("timestamp", "event_id")
+            engine.execute("REMEMBER QUERY order_seen WHERE total > 100000 AS dear")
+    engine.execute("SHOW dear")
+    return engine.execute("SHOW dear").drop("timestamp", "event_id")
 
 
 def distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,9 +131,9 @@ def distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def permitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which regions, as event types, a user may read after GRANT and REVOKE."""
+    """Which types of the click stream a user may read after GRANT and REVOKE."""
     engine = Engine(spark, new_root(spark))
-    names = sorted(r["r_name"].lower().replace(" ", "_") for r in spark.read.parquet(f"{sf_dir}/region.parquet").collect())  # 5 rows
+    names = sorted(r["event_type"] for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type").distinct().collect())  # a row for each type
     engine.execute('CREATE USER reader WITH ROLES ["write-only"]')
     for n in names:
         engine.execute(f'DEFINE {n} FIELDS {{a: "int"}}')
@@ -153,12 +155,12 @@ def queries(ev: Callable[[str], str], orders: str, items: str, core: str, every:
     return {
         "show_using_return": (functools.partial(shown, command="QUERY order_placed USING placed_at WHERE total > 1000 RETURN [total]", event_type="order_placed", first="placed_at < 820454400"), f"SELECT {core}, total FROM {orders} WHERE total > 1000"),
         "show_zone_bucket": (functools.partial(shown, command="QUERY view COUNT PER DAY", event_type="view", first=early, options=eastern), f"SELECT timestamp - (timestamp - 18000) % 86400 AS bucket, count(*) AS count FROM {ev('view')} GROUP BY 1"),
-        "show_after_stream": (streamed, "SELECT CAST(c_custkey AS VARCHAR) AS context_id, 'customer_seen' AS event_type, c_custkey AS customer, c_acctbal AS balance, c_mktsegment AS segment FROM customer WHERE c_acctbal > 0"),
+        "show_after_stream": (streamed, "SELECT CAST(o_custkey AS VARCHAR) AS context_id, 'order_seen' AS event_type, o_orderkey AS order_key, o_totalprice AS total, o_orderpriority AS priority FROM orders WHERE o_totalprice > 100000"),
         "show_retained": (retained, f"SELECT {core}, value FROM {ev('purchase')} WHERE NOT {early}"),
-        "store_and_restart": (stored, "SELECT CAST(n_nationkey AS VARCHAR) AS context_id, 'nation_seen' AS event_type, CAST(n_nationkey AS BIGINT) AS key, n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation"),
+        "store_and_restart": (stored, "SELECT o_orderpriority AS context_id, 'group_seen' AS event_type, o_orderstatus AS status, count(*) AS orders, max(o_totalprice) AS greatest FROM orders GROUP BY o_orderpriority, o_orderstatus"),
         "compact_log": (compacted, f"SELECT {every} FROM {ev('purchase')}"),
         "snapshot_restore": (restored, f"SELECT {every} FROM {ev('purchase')}"),
         "distinct_metrics": (distinct, f"SELECT CAST(even AS VARCHAR) AS even, count(*) AS count, CAST(sum(k) AS BIGINT) AS total_k FROM {ev('view')} GROUP BY 1"),
-        "permissions": (permitted, "SELECT lower(replace(r_name, ' ', '_')) AS event_type, r_name <> (SELECT min(r_name) FROM region) AS may_read, false AS may_write FROM region"),
+        "permissions": (permitted, "SELECT DISTINCT event_type, event_type <> (SELECT min(event_type) FROM events) AS may_read, false AS may_write FROM events"),
         "wildcard_columns": (wildcard_columns, " UNION ALL ".join([*(f"SELECT event_type, event_id, k, CAST(NULL AS DOUBLE) AS total, CAST(NULL AS BIGINT) AS line FROM {ev(x)}" for x in kinds), f"SELECT event_type, event_id, NULL, total, NULL FROM {orders}", f"SELECT event_type, event_id, NULL, NULL, line FROM {items}"])),
     }
