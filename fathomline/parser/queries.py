@@ -173,9 +173,10 @@ def plot(r: Reader) -> Query | CompareQueries:
     if any(s.aggs[0] != sides[0].aggs[0] for s in sides):
         raise ParseError("all sides of a comparison take the same metric")
     last = sides[-1]
-    groups = [last.by or s.by for s in sides]  # one before VS holds where the last side has none
-    if any(g != groups[0] for g in groups):
+    groups = {s.by for s in ([last] if last.by else sides) if s.by}  # one before VS holds for all where the last side has none
+    if len(groups) > 1:
         raise ParseError("all sides of a comparison have the same groups")
+    by = next(iter(groups), ())
     ends = [(s.limit, s.order) for s in sides[:-1]] + [(None, None)]  # a TOP before VS is its side's own
-    sides = [replace(s, by=groups[0], bucket=last.bucket, limit=n, order=o) for s, (n, o) in zip(sides, ends, strict=True)]
+    sides = [replace(s, by=by, bucket=last.bucket, limit=n, order=o) for s, (n, o) in zip(sides, ends, strict=True)]
     return CompareQueries(tuple(sides), last.limit, last.order)
