@@ -10,8 +10,9 @@ doc_id, and each block can be decoded alone. A block, little-endian:
     crc32 u32 of all the above
 
 Steps: texts are tokenised once (table of ids, with the counts of each task's ids in a row of its own), the counts are
-added up (a row for each id and task is shuffled), documents are coded where they lie, and only coded documents are shuffled, by range of doc_id. The driver gets at most one row
-for each id of the vocabulary and for each part.
+added up (a row for each id and task is shuffled), ids are shuffled by range of doc_id, 2 or 4 bytes each, and coded in
+order. They aren't coded before the shuffle, as Spark takes its ranges from a pass over all that is to be shuffled, which
+would code every document twice. The driver gets at most one row for each id of the vocabulary and for each part.
 
 Null texts are empty; a document always has its end id. A null doc_id sorts first. Rows that repeat a doc_id are
 documents of their own, in order of their ids' crc32. An empty table gives an empty file. Other columns are ignored.
@@ -88,23 +89,6 @@ def count_ids(ids: DataFrame) -> DataFrame:
     return each.groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def code_documents(ids: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """(doc_id, tie, n, bits, groups): each document coded."""
-
-    def make():
-        codes = huffman.canonical(lengths)
-
-        def run(batches):
-            for batch in common.slices(batches, "ids", 1 << 20):
-                flat, sizes = _ids(batch)
-                data, n_bytes, group_bits, groups = huffman.pack(flat, sizes, lengths, codes)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([zlib.crc32(x) for x in batch.column("ids").to_pylist()], pa.int64()), pa.array(sizes), common.split_binary(data, n_bytes), common.split_binary(group_bits.astype("<u4").tobytes(), 4 * groups)], names=["doc_id", "tie", "n", "bits", "groups"])
-
-        return run
-
-    return common.map_arrow(ids.where("width is not null").select("doc_id", "ids", "width"), make, "doc_id long, tie long, n long, bits binary, groups binary")
-
-
 def block_bytes(doc_ids: list, sizes: list[int], bits: list[bytes], groups: list[bytes], start: int) -> bytes:
     body = HEAD.pack(MAGIC, VERSION, huffman.INTERVAL, len(doc_ids), sum(map(len, groups)) // 4, start)
     body += bytes(x is None for x in doc_ids) + np.array([x or 0 for x in doc_ids], "<i8").tobytes() + np.array(sizes, "<u8").tobytes() + np.array([len(b) for b in bits], "<u8").tobytes() + b"".join(groups) + b"".join(bits)
@@ -127,33 +111,41 @@ def read_block(data: bytes, decoder: huffman.Decoder) -> tuple[list, np.ndarray,
     return [None if z else d for z, d in zip(null.tolist(), doc_id.tolist(), strict=True)], sizes, ids, start
 
 
-def assemble(coded: DataFrame, parts: int) -> DataFrame:
-    """(part, block, n_docs, n_tokens, data): blocks in ascending order of doc_id."""
+def assemble(ids: DataFrame, lengths: np.ndarray, parts: int) -> DataFrame:
+    """(part, block, n_docs, n_tokens, data): documents coded, in blocks, in ascending order of doc_id."""
     schema = "part int, block int, n_docs long, n_tokens long, data binary"
 
     def make():
+        codes = huffman.canonical(lengths)
         part = TaskContext.get().partitionId()
 
         def run(batches):
             rows, block, start = [[], [], [], []], 0, 0
             for batch in batches:
-                for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "bits", "groups")), strict=True):
-                    for column, x in zip(rows, row, strict=True):
-                        column.append(x)
-                    if sum(rows[1][-1:]) >= BLOCK_IDS or len(rows[1]) % 64 == 0 and sum(rows[1]) >= BLOCK_IDS:
-                        yield out(rows, block, start)
-                        block, start, rows = block + 1, start + sum(rows[1]), [[], [], [], []]
+                for piece in common.slices([batch], "ids", 1 << 20):
+                    for row in zip(piece.column("doc_id").to_pylist(), *coded(piece), strict=True):
+                        for column, x in zip(rows, row, strict=True):
+                            column.append(x)
+                        if row[1] >= BLOCK_IDS or len(rows[1]) % 64 == 0 and sum(rows[1]) >= BLOCK_IDS:
+                            yield out(rows, block, start)
+                            block, start, rows = block + 1, start + sum(rows[1]), [[], [], [], []]
             if rows[0]:
                 yield out(rows, block, start)
 
+        def coded(batch):
+            flat, sizes = _ids(batch)
+            data, n_bytes, group_bits, groups = huffman.pack(flat, sizes, lengths, codes)
+            return sizes.tolist(), common.split_binary(data, n_bytes).to_pylist(), common.split_binary(group_bits.astype("<u4").tobytes(), 4 * groups).to_pylist()
+
         def out(rows, block, start):
             data = block_bytes(rows[0], rows[1], rows[2], rows[3], start)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "n_docs": pa.array([len(rows[0])], pa.int64()), "n_tokens": pa.array([sum(rows[1])], pa.int64()), "data": pa.array([data], pa.binary())})
 
         return run
 
-    ordered = coded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    return common.map_arrow(ordered.select("doc_id", "n", "bits", "groups"), make, schema)
+    order = [F.col("doc_id").asc_nulls_first(), F.crc32("ids")]
+    ordered = ids.where("width is not null").select("doc_id", "ids", "width").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return common.map_arrow(ordered, make, schema)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, parts: int | None = None, limit: int = huffman.LIMIT) -> None:
@@ -165,7 +157,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, parts
     counts[counted.id.to_numpy(np.int64)] = counted.n.to_numpy(np.int64)
     lengths = huffman.code_lengths(counts, limit)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assemble(code_documents(ids, lengths), parts).write.option("compression", "none").parquet(f"{path}/blocks")
+    assemble(ids, lengths, parts).write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame(pd.DataFrame({"lengths": [lengths.tobytes()]}), "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     common.delete(spark, at)
 
