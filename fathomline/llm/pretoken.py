@@ -4,7 +4,8 @@ A byte-level BPE never merges across pre-tokens, so the ids of a text are those
 other. Texts that hold an added token's string go to the library whole, as it takes these out first.
 
 A space before anything but white space always begins a pre-token, so texts are cut there first, which is cheap, and
-what lies between two cuts is remembered with all its ids; only what is new is split into pre-tokens.
+what lies between two cuts is remembered with all its ids; only what is new is split into pre-tokens. A Latin word, with
+or without full stops and commas behind it, needs no pattern for that.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ def _byte_chars() -> dict[int, str]:
 
 
 BYTE_CHARS = _byte_chars()
+#: Letters that are letters in every version of Unicode.
+_latin = re.compile("[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]+").fullmatch
 _at_spaces = re.compile(r" (?=\S)").split
 
 
@@ -59,17 +62,29 @@ class PretokenCache:
         self.dtype = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self.code = "H" if self.dtype is np.uint16 else "I"
         self.model = self.library.model
-        self.known = Memo(self.ids, 200_000, 100_000)
-        self.spaced = Memo(self.after_space)
+        self.known = Memo(self.ids, 100_000, 100_000)
+        self.spaced = Memo(self.after_space, 900_000)
         self.lengths = Memo(lambda word: len(self.known[word]) // self.dtype().itemsize)
 
     def ids(self, word: str) -> bytes:
         """The library's ids of one pre-token."""
-        text = word.encode("utf-8", "replace").decode("latin-1").translate(BYTE_CHARS)
+        return self.named(word.encode("utf-8", "replace").decode("latin-1").translate(BYTE_CHARS))
+
+    def named(self, text: str) -> bytes:
+        """The library's ids of one pre-token whose bytes are named by characters."""
         return array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def after_space(self, chunk: str) -> bytes | None:
         """Ids of a space and the chunk; None where the two may not be cut from what is before."""
+        word = chunk.rstrip(".,")
+        if word.isalpha():
+            if word.isascii():  # ASCII letters are named by themselves
+                ids = self.named(BYTE_CHARS[32] + word)
+            elif _latin(word):
+                ids = self.ids(" " + word)
+            else:
+                return self.by_words(" " + chunk)
+            return ids if word == chunk else ids + self.known[chunk[len(word) :]]
         return None if not chunk or chunk[0].isspace() else self.by_words(" " + chunk)
 
     def by_words(self, text: str) -> bytes:
