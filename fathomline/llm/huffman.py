@@ -96,10 +96,12 @@ class Decoder:
 
     def unpack(self, data: bytes, sizes: np.ndarray, n_bytes: np.ndarray, group_bits: np.ndarray) -> np.ndarray:
         """Ids of all documents; every group is decoded on its own from its bit offset."""
-        raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(8, np.uint8)]).astype(np.uint64)
-        window = np.zeros(len(raw) - 7, np.uint64)  # the 64 bits from each byte on
+        rows = len(data) // 8 + 1
+        raw = data + bytes(16)
+        window = np.empty((rows, 8), np.uint64)  # the 64 bits from each byte on
         for k in range(8):
-            window = (window << np.uint64(8)) | raw[k : k + len(window)]
+            window[:, k] = np.frombuffer(raw, ">u8", rows, k)
+        window = window.reshape(-1)
         groups = (sizes + INTERVAL - 1) // INTERVAL
         firsts = np.concatenate([[0], np.cumsum(groups)[:-1]])
         nth = np.arange(groups.sum()) - np.repeat(firsts, groups)

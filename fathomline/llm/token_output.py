@@ -162,8 +162,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, parts
     common.delete(spark, at)
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids as unsigned 32-bit little-endian bytes) of a written file; decoded only where read."""
+def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids as unsigned 32-bit little-endian bytes) of a written file; decoded only where read.
+
+    with_ids=False leaves out the last column: all ids are decoded, but they don't travel to the JVM.
+    """
     lengths = np.frombuffer(spark.read.parquet(f"{path}/codebook").first()["lengths"], np.uint8)
     blocks = spark.read.parquet(f"{path}/blocks")
     totals = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())  # a row for each part
@@ -181,11 +184,14 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                     ends = np.cumsum(sizes)
                     flat = ids.astype("<u4").tobytes()
                     crc = [zlib.crc32(flat[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(offset[part] + start + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64()), common.split_binary(flat, 4 * sizes)], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                    out = {"doc_id": pa.array(doc_id, pa.int64()), "start": pa.array(offset[part] + start + ends - sizes), "n_tokens": pa.array(sizes), "ids_crc32": pa.array(crc, pa.int64())}
+                    if with_ids:
+                        out["ids"] = common.split_binary(flat, 4 * sizes)
+                    yield pa.RecordBatch.from_pydict(out)
 
         return run
 
-    return common.map_arrow(blocks.select("part", "data"), make, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return common.map_arrow(blocks.select("part", "data"), make, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +200,7 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     at = common.new_path(spark, "token-file")
     write_ids(common.table(spark, sf_dir, "documents"), at, path("byte_bpe_50k.json"))
-    return read_ids(spark, at).drop("ids")
+    return read_ids(spark, at, with_ids=False)
 
 
 QUERIES = {"op1_token_output": op1_token_output}

@@ -68,6 +68,19 @@ def test_file_gives_all_ids_back(spark, odd, library, tmp_path):
     assert order == sorted(order, key=lambda d: (d is not None, d))
     want = sorted((r["doc_id"] is not None, r["doc_id"] or 0, np.array(library.encode(r["text"] or "", add_special_tokens=False).ids + [0], "<u4").tobytes()) for r in odd.select("doc_id", "text").collect())
     assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, bytes(r["ids"])) for r in got) == want
+    bare = token_output.read_ids(spark, at, with_ids=False)
+    assert sorted(bare.collect(), key=key) == sorted((r[:4] for r in got), key=lambda r: r[1])
+
+
+def test_pretokens_give_the_ids_of_the_library(library):
+    """Around characters of all kinds, and where white space, marks and letters meet."""
+    cache, rng = PretokenCache(load_json(FILE)), random.Random(7)
+    some = [*"ab é×÷ªµñßʯͰж日.,'!\n\t 1-\u00a0\u0301", " ", "  ", "don't", "I'LL", ".,", "..."]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(30))) for _ in range(4000)]
+    marks = [chr(c) for c in range(0x3000)]
+    texts += [f"a {m}b x{m}., {m}, {m}{m}a.\ny., .,{m} e " for m in marks]
+    for text in texts:
+        assert cache.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, cache.dtype).tobytes(), text
 
 
 def test_empty_file(spark, none, tmp_path):
