@@ -64,7 +64,7 @@ class PretokenCache:
         self.model = self.library.model
         self.known = Memo(self.ids, 100_000, 100_000)
         self.spaced = Memo(self.after_space, 900_000)
-        self.lengths = Memo(lambda word: len(self.known[word]) // self.dtype().itemsize)
+        self.lengths = Memo(lambda word: len(self.ids(word)) // self.dtype().itemsize, 900_000)
 
     def ids(self, word: str) -> bytes:
         """The library's ids of one pre-token."""
