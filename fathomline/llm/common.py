@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -106,11 +107,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(a, b - a)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on between tasks and stages, and would hold it beside its executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
     """mapInArrow with a function made once in each task."""
 
     def run(batches):
         yield from make()(batches)
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -121,8 +133,8 @@ def map_whole(df: DataFrame, make: Callable[[], Callable], *added: T.StructField
     places = [f"c{k}" for k in range(len(names))]  # dots and quotes in names mean something to Spark
 
     def run(batches):
-        for out in make()(b.rename_columns(names[: b.num_columns]) for b in batches):
-            yield out.rename_columns(places)
+        yield from map(lambda out: out.rename_columns(places), make()(b.rename_columns(names[: b.num_columns]) for b in batches))
+        release()
 
     schema = T.StructType([T.StructField(c, f.dataType, f.nullable) for c, f in zip(places, [*df.schema.fields, *added], strict=True)])
     return df.toDF(*places[: len(df.columns)]).mapInArrow(run, schema).toDF(*names)

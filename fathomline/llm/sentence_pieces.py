@@ -34,6 +34,8 @@ from . import common
 MARK = "▁"
 #: Bytes of a part from which it is encoded alone.
 LONG = 200
+#: Bytes of parts, each as long as the longest, that are encoded at once; each takes some 30 bytes of memory meanwhile.
+CELLS = 300_000
 #: Scores are added up as whole multiples of 1 / SCALE, so that sums are exact and ties are ties.
 SCALE = 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -145,6 +147,10 @@ class DoubleArray:
         self.longest = max((len(k) for k, _ in entries), default=1)
 
 
+def marked(part: str) -> bytes:
+    return part.replace(" ", MARK).encode("utf-8", "replace")
+
+
 class Unigram:
     def __init__(self, model: bytes):
         self.pieces = p = Pieces(model)
@@ -156,22 +162,26 @@ class Unigram:
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", t) for t in texts)
         joined = {c for t in texts if len(t) > 1 for c in t}
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
-        self.parts = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else "")).findall
+        self.parts = re.compile(f" *[^ {alone}]+| +" + (f"|[{alone}]" if alone else "")).findall
         self.out = [bytes([int(x[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else x.replace(MARK.encode(), b" ") for x, k in zip(p.piece, p.kind, strict=True)]
-        self.memo = common.Memo(lambda part: np.array(self.path(part.encode("utf-8", "replace")), "<i4").tobytes())
+        self.memo = common.Memo(lambda part: np.array(self.path(marked(part)), "<i4").tobytes())
 
     # --- encoding
 
-    def normal(self, text: str | None) -> str:
+    def spaced(self, text: str | None) -> str:
+        """The normal text with spaces for markers: as keys, parts in ASCII take less memory than with a marker."""
         if not text:
             return ""
-        return ((" " if self.pieces.dummy_prefix else "") + text).replace(" ", MARK)
+        return ((" " if self.pieces.dummy_prefix else "") + text).replace(MARK, " ")
+
+    def normal(self, text: str | None) -> str:
+        return self.spaced(text).replace(" ", MARK)
 
     def fallback(self, char: bytes) -> list[int]:
         return [self.pieces.byte[b] for b in char] if len(self.pieces.byte) == 256 else [self.pieces.unknown]
 
     def path(self, data: bytes) -> list[int]:
-        """The best path through one part, a character at a time."""
+        """The best path through one marked part, a character at a time."""
         n, t, score = len(data), self.trie, self.score
         base, check, value = t.base, t.check, t.value
         best, back = [float("-inf")] * (n + 1), [(0, -1)] * (n + 1)
@@ -265,11 +275,11 @@ class Unigram:
         room = max(0, memo.core - len(memo))
         if len(memo.late) + len(parts) - room > memo.recent:
             memo.late.clear()
-        coded = sorted(((p, p.encode("utf-8", "replace")) for p in parts), key=lambda x: len(x[1]))
+        coded = sorted(((p, marked(p)) for p in parts), key=lambda x: len(x[1]))
         at = 0
         while at < len(coded) and len(coded[at][1]) <= LONG:
             to = at
-            while to < len(coded) and len(coded[to][1]) <= LONG and to - at < 20_000 and len(coded[to][1]) <= 2 * len(coded[at][1]) + 4:
+            while to < len(coded) and len(coded[to][1]) <= LONG and (to + 1 - at) * len(coded[to][1]) <= CELLS and len(coded[to][1]) <= 2 * len(coded[at][1]) + 4:
                 to += 1
             for (p, _), got in zip(coded[at:to], self.paths([x for _, x in coded[at:to]]), strict=True):
                 (memo if len(memo) < memo.core else memo.late)[p] = got
@@ -277,9 +287,9 @@ class Unigram:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts as little-endian int32."""
-        texts = [self.normal(t) for t in texts]
+        texts = [self.spaced(t) for t in texts]
         if not self.splits:
-            return [np.array(self.path(t.encode("utf-8", "replace")), "<i4").tobytes() for t in texts]
+            return [np.array(self.path(marked(t)), "<i4").tobytes() for t in texts]
         split = [self.parts(t) for t in texts]
         self.learn({p for parts in split for p in parts if p not in self.memo and p not in self.memo.late})
         return [b"".join(map(self.memo.__getitem__, parts)) for parts in split]
@@ -326,6 +336,7 @@ def encode(docs: DataFrame, model_path: str, check: bool = True) -> DataFrame:
                 if check:
                     batch = batch.append_column("round_trip", pa.array([model.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]))
                 yield batch
+                common.release()
 
         return run
 

@@ -5,13 +5,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
-
+import pyarrow as pa
 import pytest
 import sentencepiece
 from public_tokenizers import path
 from pyspark.sql import functions as F
 
-from fathomline.llm import lm_scores, mixing, secret_scan, toxicity
+from fathomline.llm import common, lm_scores, mixing, secret_scan, toxicity
 from fathomline.llm import sentence_pieces as sp
 
 MODEL = path("piece_bpe_32k.model")
@@ -284,3 +284,54 @@ def test_a_share_of_the_way_to_even_weights_binds():
     exponent, w = mixing.find_weights(tokens, tokens.sum(), flatten=0.5)
     own = mixing.entropy(tokens / tokens.sum())
     assert exponent < 1 and mixing.entropy(w) == pytest.approx((own + math.log(3)) / 2)
+
+
+def test_parts_are_held_in_little_memory():
+    import tracemalloc
+
+    model = sp.Unigram(sp.read_model(MODEL))
+    texts = ["Plain words, and more words\n", "déjà▁vu  日本▁", "▁", None]
+    assert model.encode_batch(texts) == [np.array(model.path(model.normal(t).encode()), "<i4").tobytes() for t in texts]
+    assert " words" in model.memo and not any(sp.MARK in p for p in model.memo)
+    tracemalloc.start()
+    try:
+        model.learn({f"{k:05}" + "x" * 180 for k in range(5_000)})
+        assert tracemalloc.get_traced_memory()[1] < 20e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("way", ["map_whole", "map_arrow"])
+def test_a_task_gives_its_memory_back(way):
+    from pyspark.sql import types as T
+
+    class Docs:
+        columns, schema = ["text"], T.StructType([T.StructField("text", T.StringType())])
+
+        def toDF(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    def anonymous():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+    kept = []
+
+    def make():
+        def run(batches):
+            for batch in batches:
+                held = [bytes(2_000) for _ in range(60_000)]
+                kept.append(bytes(2_000))  # above the others, so that the heap can't shrink from its top
+                del held
+                yield batch
+
+        return run
+
+    docs, before = Docs(), anonymous()
+    common.map_whole(docs, make) if way == "map_whole" else common.map_arrow(docs, make, "text string")
+    assert sum(b.num_rows for b in docs.run(iter([pa.record_batch({"text": ["a"]})]))) == 1
+    assert anonymous() - before < 60
